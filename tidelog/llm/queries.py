@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cnn_quality, langid, rules, sharding, simhash
+from . import bpe, chat, cnn_quality, decontam, langid, pst_lm, rules, sharding, simhash
 from .common import table
 
 #: Where the tokenizer file is; on a cluster, a path that every executor can read.
@@ -52,6 +52,10 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
     return done.select(
@@ -130,14 +134,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst_lm.held_out(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_bpe_encoding_and_decoding": op4_bpe_encoding_and_decoding,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 
