@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checkpointed, crc_remainder, raw_texts
 
 #: Longest context in bytes.
-DEPTH = 4
+DEPTH = 5
 #: A pair of context and next byte has a count of its own from 1/PAIRS of all training bytes on, so a length
 #: has at most PAIRS pairs, whatever the corpus's size; rarer ones fall under their context's smoothing.
-PAIRS = 1 << 19
+PAIRS = 1 << 22
 #: A context stays if it explains its training bytes by this many nats better than its suffix does.
 GAIN = 12.0
 #: Bytes scored together, and bytes of the texts of one block.
@@ -32,20 +32,31 @@ def normalised(text: bytes) -> bytes:
     return b"\n" * DEPTH + b" ".join(text.lower().split()) + b"\n"
 
 
-def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(texts: list[bytes], compact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """For every symbol of the normalised texts: it in the low byte, its context above, the nearest lowest.
-    And where each text's symbols begin (n + 1 offsets)."""
+    And where each text's symbols begin (n + 1 offsets). With ``compact`` also the same keys in as few bits
+    for a byte as tell apart the byte values that occur, and that number of bits."""
     packed = [normalised(t) for t in texts]
     size = np.array([len(p) for p in packed], np.int64)
-    data = np.frombuffer(b"".join(packed), np.uint8).astype(np.uint64)
-    key = data.copy()
-    for k in range(1, DEPTH + 1):
-        key[k:] |= data[:-k] << np.uint64(8 * k)
-    symbol = np.ones(len(data), bool)
+    raw = np.frombuffer(b"".join(packed), np.uint8)
+    symbol = np.ones(len(raw), bool)
     begin = np.cumsum(size) - size
     for k in range(DEPTH):
         symbol[begin + k] = False
-    return key[symbol], np.concatenate([[0], np.cumsum(size - DEPTH)])
+
+    def joined(data: np.ndarray, bits: int) -> np.ndarray:
+        key = data.copy()
+        for k in range(1, DEPTH + 1):
+            key[k:] |= data[:-k] << np.uint64(bits * k)
+        return key[symbol]
+
+    offsets = np.concatenate([[0], np.cumsum(size - DEPTH)])
+    if not compact:
+        return joined(raw.astype(np.uint64), 8), offsets, np.zeros(0, np.uint64), 8
+    there = np.bincount(raw, minlength=256) > 0
+    bits = max(1, int(there.sum() - 1).bit_length())
+    rank = (np.cumsum(there) - 1).clip(0).astype(np.uint64)
+    return joined(raw.astype(np.uint64), 8), offsets, joined(rank[raw], bits), bits
 
 
 def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +149,7 @@ class Tree:
     counts: list[np.ndarray]
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest context in the tree) for sorted, distinct keys.
+        """log10 P(symbol | longest context in the tree) of each key.
 
         A context's counts are mixed with the distribution of its suffix in the share of its distinct next
         bytes to its count (Witten-Bell), down to the uniform distribution.
@@ -218,15 +229,17 @@ def score_texts(tree: Tree, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text's normalised bytes and end."""
     out = []
     for part in sliced(texts):
-        keys, begin = keys_of(part)
+        keys, begin, compact, bits = keys_of(part, compact=True)
         total = np.zeros(len(part))
-        for start in range(0, len(keys), 1 << 22):
-            piece = keys[start : start + (1 << 22)]
-            mixed = np.sort(piece << np.uint64(24) | np.arange(len(piece), dtype=np.uint64))
-            of = mixed >> np.uint64(24)
+        places = min(22, 64 - bits * (DEPTH + 1))  # bits beside a compact key, for its place: one sort finds equal keys
+        for start in range(0, len(keys), 1 << places):
+            piece = compact[start : start + (1 << places)]
+            mixed = np.sort(piece << np.uint64(places) | np.arange(len(piece), dtype=np.uint64))
+            of = mixed >> np.uint64(places)
+            place = (mixed & np.uint64((1 << places) - 1)).astype(np.int64)
             new = np.concatenate([[True], of[1:] != of[:-1]])
             value = np.empty(len(piece))
-            value[(mixed & np.uint64(0xFFFFFF)).astype(np.int64)] = tree.log10(of[new])[np.cumsum(new) - 1]
+            value[place] = tree.log10(keys[start + place[new]])[np.cumsum(new) - 1]
             rows = np.flatnonzero((begin[:-1] < start + len(piece)) & (begin[1:] > start))
             total[rows] += np.add.reduceat(value, np.maximum(begin[rows] - start, 0))
         out.append(total)

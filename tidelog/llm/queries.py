@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cnn_quality, decontam, langid, pst_lm, rules, sharding, simhash
+from . import bpe, chat, cnn_quality, decontam, langid, pst_lm, rules, sharding, simhash, suffix_dedup
 from .common import table
 
 #: Where the tokenizer file is; on a cluster, a path that every executor can read.
@@ -52,6 +52,10 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -140,6 +144,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_bpe_encoding_and_decoding": op4_bpe_encoding_and_decoding,
     "op5_quality_rules": op5_quality_rules,
