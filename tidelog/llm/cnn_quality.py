@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_remainder, per_batch, sampled_rows, sized_slices, text_bytes
 
@@ -200,8 +201,7 @@ def with_scores(docs: DataFrame, net: Network, column: str) -> DataFrame:
         found = score(shared.value, *text_bytes(batch.column(place)))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, column])
 
-    ddl = docs.schema.add(column, "double")
-    return per_batch(docs, run, ddl)
+    return per_batch(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -60,7 +60,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"").to_pylist()
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Map every Arrow batch of ``df`` on its own."""
     bounded_batches(df.sparkSession)
 
