@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,12 +33,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one in spark.checkpoint.dir. Only where that is unset, as in tests on one
     machine, a temporary folder is used.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors share: that of checkpoints."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
         )
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+class Stored:
+    """Intermediate results as compressed tables in the shared folder; they outlive lost executors.
+
+    After each, shuffles of finished steps are let go: Spark drops them once the driver's objects that
+    refer to them are collected, which would else happen some time later.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        del df
+        self.release()
+        return out
+
+    def release(self) -> None:
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def crc_remainder(column: str, modulus: int) -> F.Column:

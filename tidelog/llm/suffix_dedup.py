@@ -11,7 +11,6 @@ which are merged by binary search.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from math import ceil
 
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, per_batch, raw_texts
+from .common import Stored, bounded_batches, checkpointed, per_batch, raw_texts
 
 ANCHOR = 64
 #: Bytes hashed together; longer texts are taken in parts, whose strings begin in different parts only.
@@ -113,27 +112,28 @@ def text_key(text: Column) -> list[Column]:
 
 
 def _all_regions(texts: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, first, begins, anchor, r1, r2): the regions of every text, once for equal texts."""
+    """(h1, h2, first, begins, anchor, r): the regions of every text, once for equal texts. Equal regions have
+    equal anchors, so a region's name is the 128 bits of anchor and r."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         chosen = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True)[1]
         raw = raw_texts(batch.column(2).take(pa.array(chosen)))
-        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
         for rows, offset, data, bounds in _parts(raw, least):
             of, first, begins, anchor = regions(data, bounds, least)
             view = memoryview(data)
-            digest = xxhash.xxh3_128_digest
+            digest = xxhash.xxh3_64_digest
             both = b"".join([digest(view[a : a + n + least - 1]) for a, n in zip(first.tolist(), begins.tolist())])
-            r = np.frombuffer(both, "<i8").reshape(-1, 2)
+            r = np.frombuffer(both, "<i8")
             row = chosen[np.array(rows)[of]] if len(of) else of
             start = first - bounds[of] + np.array(offset)[of] if len(of) else first
-            for c, v in zip(columns, (h1[row], h2[row], start, begins, anchor.astype(np.int64), r[:, 0], r[:, 1])):
+            for c, v in zip(columns, (h1[row], h2[row], start, begins, anchor.astype(np.int64), r)):
                 c.append(v)
         arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in columns]
-        return pa.record_batch(arrays, ["h1", "h2", "first", "begins", "anchor", "r1", "r2"])
+        return pa.record_batch(arrays, ["h1", "h2", "first", "begins", "anchor", "r"])
 
-    schema = "h1 long, h2 long, first long, begins long, anchor long, r1 long, r2 long"
+    schema = "h1 long, h2 long, first long, begins long, anchor long, r long"
     return per_batch(texts.where(F.octet_length("text") >= least).select("h1", "h2", "text"), run, schema).distinct()
 
 
@@ -258,7 +258,7 @@ def _in_shard(least: int, ranges: int):
 
     def run(group: pa.Table) -> pa.Table:
         seen, rows = set(), []
-        for row in zip(*(group[c].to_pylist() for c in ("r1", "r2", "h1", "h2", "first", "begins", "occurs", "cut", "piece"))):
+        for row in zip(*(group[c].to_pylist() for c in ("anchor", "r", "h1", "h2", "first", "begins", "occurs", "cut", "piece"))):
             if row[:2] not in seen:
                 seen.add(row[:2])
                 rows.append(row[2:])
@@ -317,12 +317,6 @@ def _merge(least: int):
     return run
 
 
-def _released(spark) -> None:
-    """Let Spark drop shuffles of finished steps, which it does when the driver's objects are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
     """(h1, h2, copies, spans): for every text, how many rows have it and the byte spans to remove.
 
@@ -336,26 +330,30 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
     )
-    found = checkpointed(_all_regions(keyed, least))
-    _released(spark)
-    by_region = checkpointed(
-        found.groupBy("anchor", "r1", "r2").agg(F.count(F.lit(1)).alias("occurs"), F.min(F.struct("h1", "h2", "first", "begins")).alias("one"))
-        .select("anchor", "r1", "r2", "occurs", "one.*")
+    stored = Stored(spark)
+    found = stored(_all_regions(keyed, least))
+    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    repeated = stored(found.join(twice, "anchor", "left_semi"))
+    stored.drop(found)
+    by_region = stored(
+        repeated.groupBy("anchor", "r")
+        .agg(F.count(F.lit(1)).alias("occurs"), F.min(F.struct("h1", "h2", "first", "begins")).alias("one"))
+        .select("anchor", "r", "occurs", "one.*")
     )
     whole = (
-        found.join(by_region.where("occurs > 1").select("anchor", "r1", "r2"), ["anchor", "r1", "r2"])
+        repeated.join(by_region.where("occurs > 1").select("anchor", "r"), ["anchor", "r"])
         .select("h1", "h2", F.col("first").alias("lo"), (F.col("first") + F.col("begins") - 1 + least).alias("hi"))
     )
     several = by_region.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mixed = by_region.join(several, "anchor")
+    mixed = stored(by_region.join(several, "anchor"))
     totals = mixed.agg(
         F.sum(F.col("begins") + least).alias("bytes"), F.sum(F.when(F.col("n") > HOT, F.col("begins"))).alias("cut")
     ).first()
     shards = max(1, ceil((totals["bytes"] or 0) / SHARD_BYTES))
     ranges = max(1, ceil((totals["cut"] or 0) / RANGE))
-    salt = F.pmod(F.xxhash64("r1", "r2"), F.ceil(F.col("n") / HOT))
+    salt = F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / HOT))
     dealt = mixed.select(
-        "h1", "h2", "first", "begins", "occurs", "r1", "r2", (F.col("n") > HOT).alias("cut"),
+        "h1", "h2", "first", "begins", "occurs", "anchor", "r", (F.col("n") > HOT).alias("cut"),
         F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).cast("int").alias("shard"),
     )
     # bytes come from one row of each text
@@ -365,7 +363,7 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
     pieces = dealt.join(texts.select("h1", "h2", "text"), ["h1", "h2"]).select(
         *dealt.columns, F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("begins") + least - 1).cast("int")).alias("piece")
     )
-    shard_out = checkpointed(pieces.groupBy("shard").applyInArrow(_in_shard(least, ranges), _SHARD_OUT))
+    shard_out = stored(pieces.groupBy("shard").applyInArrow(_in_shard(least, ranges), _SHARD_OUT))
     merged = (
         shard_out.where("range is not null")
         .groupBy("range")
@@ -377,8 +375,8 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
         .groupBy("h1", "h2")
         .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     )
-    del found, by_region, whole, several, mixed, dealt, texts, pieces, shard_out, merged
-    _released(spark)
+    stored.drop(repeated, by_region, mixed, shard_out)
+    stored.release()
     return classes.select("h1", "h2", "copies").join(spans, ["h1", "h2"], "left")
 
 
