@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, crc_remainder, raw_texts
+from .common import Stored, bounded_batches, crc_remainder, raw_texts
 
 #: Longest context in bytes.
 DEPTH = 5
@@ -209,7 +209,8 @@ def prune(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
 def grow(train: DataFrame) -> Tree:
     """The tree of all training texts: counts over every byte of them, gathered by Spark; only pairs of at least
     1/PAIRS of the bytes, at most PAIRS for a depth, come to the driver for the divergence tests."""
-    counts = checkpointed(context_counts(train))
+    stored = Stored(train.sparkSession)
+    counts = stored(context_counts(train))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(1, total // PAIRS)
     pairs = []
@@ -222,6 +223,7 @@ def grow(train: DataFrame) -> Tree:
         key, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
         order = np.argsort(key)
         pairs.append((key[order], n[order]))
+    stored.drop(counts)
     return prune(pairs)
 
 
@@ -257,17 +259,20 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    counts = checkpointed(word_counts(train))
+    stored = Stored(spark)
+    counts = stored(word_counts(train))  # read by the result, so it stays
     ends = train.count()
     known = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = (known["n"] or 0) + ends, known["v"] + (ends > 0)
     shared = spark.sparkContext.broadcast(grow(train))  # at most PAIRS pairs for each depth
+    stored.release()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(size / BLOCK_TEXT))
     dealt = docs.select(
         F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
     ).repartition(blocks, "block")
 
+    # a block is in one task, so a word is asked for once by a block, or again after a flush
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, set[bytes]] = {}
 
@@ -285,7 +290,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    asked = dealt.select("text", "block").mapInArrow(distinct_words, "word binary, block int").distinct()
+    asked = dealt.select("text", "block").mapInArrow(distinct_words, "word binary, block int")
     answered = asked.join(counts, "word").select("block", "word", "c")
     denominator = n_all + 0.5 * (v_all + 1)
 

@@ -332,9 +332,11 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
     )
     stored = Stored(spark)
     found = stored(_all_regions(keyed, least))
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # counts are stored before they are joined: then Spark may split a hot anchor's rows over several tasks,
+    # which it can't while one stage both counts and joins them
+    twice = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     repeated = stored(found.join(twice, "anchor", "left_semi"))
-    stored.drop(found)
+    stored.drop(found, twice)
     by_region = stored(
         repeated.groupBy("anchor", "r")
         .agg(F.count(F.lit(1)).alias("occurs"), F.min(F.struct("h1", "h2", "first", "begins")).alias("one"))
@@ -344,7 +346,7 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
         repeated.join(by_region.where("occurs > 1").select("anchor", "r"), ["anchor", "r"])
         .select("h1", "h2", F.col("first").alias("lo"), (F.col("first") + F.col("begins") - 1 + least).alias("hi"))
     )
-    several = by_region.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = stored(by_region.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     mixed = stored(by_region.join(several, "anchor"))
     totals = mixed.agg(
         F.sum(F.col("begins") + least).alias("bytes"), F.sum(F.when(F.col("n") > HOT, F.col("begins"))).alias("cut")
@@ -375,7 +377,7 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
         .groupBy("h1", "h2")
         .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     )
-    stored.drop(repeated, by_region, mixed, shard_out)
+    stored.drop(repeated, by_region, several, mixed, shard_out)
     stored.release()
     return classes.select("h1", "h2", "copies").join(spans, ["h1", "h2"], "left")
 
