@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from .common import crc_remainder, per_batch, sampled_rows, sized_slices, text_b
 #: A filter sees WIDTH bytes, every STRIDE bytes; a chunk is two half chunks, and chunks overlap by one.
 WIDTH, STRIDE, HALF = 8, 4, 256
 EMBED, FILTERS = 6, 16
-#: Learning takes about this many texts of each label, and so many passes over them.
-SAMPLE_EACH, EPOCHS, BATCH, RATE = 1200, 12, 64, 0.01
+#: Learning takes about this many texts of each label. It makes at least UPDATES steps of BATCH texts, and at
+#: least EPOCHS passes; a small sample is passed over more often.
+SAMPLE_EACH, UPDATES, EPOCHS, BATCH, RATE = 1200, 600, 12, 64, 0.01
 #: Bytes held in one forward pass.
 BLOCK = 1 << 18
 
@@ -141,7 +143,8 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float]) -> Network:
     m, v, step = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], 0
     y, w = np.array(labels, np.float32), np.array(weights, np.float32)
     sizes = np.array([len(t) for t in texts])
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, ceil(UPDATES * BATCH / len(texts)))
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         order = order[np.argsort(sizes[order] // 2048, kind="stable")]  # texts of like length together
         groups = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
@@ -149,7 +152,7 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float]) -> Network:
             bounds = np.concatenate([[0], np.cumsum(sizes[g])])
             halves, first = halves_of(np.frombuffer(b"".join(texts[i] for i in g), np.uint8), bounds)
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for x, a, b, grad in zip(params, m, v, gradients(net, halves, first, y[g], w[g])):
                 a += 0.1 * (grad - a)
                 b += 0.01 * (grad * grad - b)
