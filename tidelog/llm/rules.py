@@ -87,8 +87,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     places = F.transform(_same_as_neighbour(F.col("windows"), lambda x: x["w"]), lambda x: x["p"])
     repeated = F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
     # A filter on these columns must not be pushed below this projection, where it would repeat the work for
-    # every item of an array; the optimizer leaves filters above an expression that is not deterministic.
-    barrier = (F.rand(0) < 0).cast("int")
+    # every item of an array; the optimizer leaves filters above an expression that is not deterministic. This
+    # one is always zero, which the optimizer cannot tell.
+    barrier = F.floor(F.rand(0)).cast("int")
     return fourth.select(
         "doc_id",
         "t",
