@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_batch
+from .common import Stored, bounded_batches, per_batch
 
 #: How the byte-level tokenizer cuts texts before any merge.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -292,14 +292,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON) -> bytes:
-    """Compile the most frequent words of all texts, each with the space before it. ``size`` bounds the file."""
-    frequent = (
-        word_counts(docs.where("text is not null"))
-        .where(F.length("word") < 64)
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .collect()
-    )
+    """Compile the most frequent words of all texts, each with the space before it. ``size`` bounds the file.
+
+    Counts fall into steps of a sixteenth of a power of two; the words of the highest steps that are ``size``
+    or fewer together come to the driver, so what is sent does not grow with the number of partitions.
+    """
+    stored = Stored(docs.sparkSession)
+    counts = stored(word_counts(docs.where("text is not null")).where(F.length("word") < 64))
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += row["words"]
+        if total > size:
+            break
+        least = row["step"]
+    frequent = counts.where(step >= least).select("word").collect() if least is not None else []
+    stored.drop(counts)
     words = {f" {r['word']}".encode() for r in frequent if LETTERS.fullmatch(r["word"])}
     return compile_lexicon({w: vocabulary.merge(w) for w in words})
 
