@@ -33,9 +33,10 @@ def normalised(text: bytes) -> bytes:
 
 
 def keys_of(texts: list[bytes], compact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For every symbol of the normalised texts: it in the low byte, its context above, the nearest lowest.
-    And where each text's symbols begin (n + 1 offsets). With ``compact`` also the same keys in as few bits
-    for a byte as tell apart the byte values that occur, and that number of bits."""
+    """For every symbol of the normalised texts: it in the low byte, its context above, the nearest highest, so
+    that sorted keys are sorted by every shorter context too. And where each text's symbols begin (n + 1
+    offsets). With ``compact`` also the same keys in as few bits for a byte as tell apart the byte values
+    that occur, and that number of bits."""
     packed = [normalised(t) for t in texts]
     size = np.array([len(p) for p in packed], np.int64)
     raw = np.frombuffer(b"".join(packed), np.uint8)
@@ -47,7 +48,7 @@ def keys_of(texts: list[bytes], compact: bool = False) -> tuple[np.ndarray, np.n
     def joined(data: np.ndarray, bits: int) -> np.ndarray:
         key = data.copy()
         for k in range(1, DEPTH + 1):
-            key[k:] |= data[:-k] << np.uint64(bits * k)
+            key[k:] |= data[:-k] << np.uint64(bits * (DEPTH + 1 - k))
         return key[symbol]
 
     offsets = np.concatenate([[0], np.cumsum(size - DEPTH)])
@@ -149,15 +150,22 @@ class Tree:
     counts: list[np.ndarray]
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest context in the tree) of each key.
+        """The same for keys in text order: the farthest byte of the context highest, the symbol lowest."""
+        turned = keys & np.uint64(255)
+        for k in range(1, DEPTH + 1):
+            turned |= (keys >> np.uint64(8 * k) & np.uint64(255)) << np.uint64(8 * (DEPTH + 1 - k))
+        return self.log10_of(turned)
+
+    def log10_of(self, keys: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | longest context in the tree) of each key of keys_of; fastest if they are sorted.
 
         A context's counts are mixed with the distribution of its suffix in the share of its distinct next
         bytes to its count (Witten-Bell), down to the uniform distribution.
         """
         p = np.full(len(keys), 1 / 256)
         for d in range(len(self.contexts)):
-            context = keys >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)
-            pair = keys & np.uint64((1 << 8 * (d + 1)) - 1)
+            context = keys >> np.uint64(8 * (DEPTH + 1 - d))
+            pair = context << np.uint64(8) | keys & np.uint64(255)
             at = np.searchsorted(self.contexts[d], context)
             at[at == len(self.contexts[d])] = 0
             if not len(self.contexts[d]):
@@ -184,7 +192,7 @@ def prune(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         if d and len(ids):
             up_key, up_n = pairs[d - 1]
             up_ids, up_total, up_kinds, _ = stats[d - 1]
-            short = key & np.uint64((1 << 8 * d) - 1)
+            short = context >> np.uint64(8) << np.uint64(8) | key & np.uint64(255)
             to = np.minimum(np.searchsorted(up_key, short), len(up_key) - 1)
             parent = np.minimum(np.searchsorted(up_ids, short >> np.uint64(8)), len(up_ids) - 1)
             n_up = np.where(up_key[to] == short, up_n[to], 0.5)
@@ -193,7 +201,7 @@ def prune(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
             keep = gain >= GAIN
         stats.append((ids, total, kinds, keep))
     for d in range(len(pairs) - 1, 1, -1):
-        up = np.unique(stats[d][0][stats[d][3]] & np.uint64((1 << 8 * (d - 1)) - 1))
+        up = np.unique(stats[d][0][stats[d][3]] >> np.uint64(8))
         stats[d - 1][3][np.isin(stats[d - 1][0], up)] = True
     out = Tree([], [], [], [], [])
     for (ids, total, kinds, keep), (key, n) in zip(stats, pairs):
@@ -214,15 +222,15 @@ def grow(train: DataFrame) -> Tree:
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(1, total // PAIRS)
     pairs = []
-    for d in range(DEPTH + 1):
-        short = counts
-        if d < DEPTH:
-            mask = F.lit((1 << 8 * (d + 1)) - 1)
-            short = counts.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        got = short.where(F.col("n") >= least).select("key", "n").toArrow()
+    for d in range(DEPTH, -1, -1):
+        if d < DEPTH:  # the farthest byte goes, so each length is summed from the one above
+            short = F.shiftright(F.col("key"), 16) * 256 + F.col("key").bitwiseAND(F.lit(255))
+            longer, counts = counts, stored(counts.groupBy(short.alias("key")).agg(F.sum("n").alias("n")))
+            stored.drop(longer)
+        got = counts.where(F.col("n") >= least).select("key", "n").toArrow()
         key, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
         order = np.argsort(key)
-        pairs.append((key[order], n[order]))
+        pairs.insert(0, (key[order], n[order]))
     stored.drop(counts)
     return prune(pairs)
 
@@ -241,7 +249,7 @@ def score_texts(tree: Tree, texts: list[bytes]) -> np.ndarray:
             place = (mixed & np.uint64((1 << places) - 1)).astype(np.int64)
             new = np.concatenate([[True], of[1:] != of[:-1]])
             value = np.empty(len(piece))
-            value[place] = tree.log10(keys[start + place[new]])[np.cumsum(new) - 1]
+            value[place] = tree.log10_of(keys[start + place[new]])[np.cumsum(new) - 1]
             rows = np.flatnonzero((begin[:-1] < start + len(piece)) & (begin[1:] > start))
             total[rows] += np.add.reduceat(value, np.maximum(begin[rows] - start, 0))
         out.append(total)
