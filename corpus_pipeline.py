@@ -11,10 +11,12 @@ from tidelog.llm.queries import TOKENIZER
 
 #: A text that the classifier gives less is rejected.
 QUALITY = 0.7
-#: Near duplicates: five-word shingles of a similarity of 0.8 or more. At 0.8, fingerprints of BITS bits differ
-#: in 15.1 % on average and seldom in over 16.5 %.
+#: Near duplicates: sets of five-word shingles of a Jaccard similarity of 0.8 or more. WIDTH is for blocks of sampled
+#: bits (simhash.near_duplicates), which this stage does not use.
 SHINGLE, SIMILARITY, BITS, WIDTH = 5, 0.8, 512, 24
-DISTANCE = int(0.165 * BITS)
+#: Bits in which the fingerprints of candidates differ at most. At 0.8, 78 differ on average, with a deviation of 8,
+#: or 96 and 9 for sets of 4 and 5 shingles; 160 is seven deviations above.
+DISTANCE = 160
 #: Repeated passages: strings of this many bytes, which a passage of over 50 words has.
 PASSAGE_BYTES = 256
 
@@ -28,9 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document of the smallest id; of repeated rows, one. A row without
-    an id stays unless it equals a kept one in all columns."""
-    tables = simhash.tables_for(BITS, WIDTH, SIMILARITY)
-    found = simhash.near_duplicates(docs, SHINGLE, DISTANCE, BITS, tables, WIDTH)
+    an id stays unless it equals a kept one in all columns. Near copies are verified by their shingle sets."""
+    found = simhash.similar_texts(docs, SHINGLE, SIMILARITY, BITS, DISTANCE)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns).dropDuplicates()
 

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -82,3 +83,28 @@ def test_recall_of_sampled_blocks():
     met = [not all(flips[m].any() for m in masks) for flips in (rng.random(cp.BITS) < share for _ in range(300))]
     assert np.mean(met) > 0.9
     assert suffix_dedup.ANCHOR < cp.PASSAGE_BYTES
+
+
+def test_near_copies_are_those_at_the_similarity(spark, monkeypatch):
+    """Every pair at 0.8 or more is linked and no pair below, for short and long texts; in tiles too."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(60):
+        n = rng.choice([8, 12, 24, 104, 404])
+        base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        other = list(base)
+        gone = rng.choice([(n - 4) // 9, (n - 4) // 9, max(1, (n - 4) // 5), (n - 4) // 8])  # shingles changed of n - 4, about 0.8
+        other[n - gone :] = [f"x{rng.randrange(10**9)}" for _ in range(gone)]
+        texts += [" ".join(base), " ".join(other)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "b c d e f g h i", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    like = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i] or "", texts[j] or "") >= 0.8]
+    assert 10 < len(like) < 60
+    roots = {i: i for i in range(len(texts))}
+    for i, j in like:
+        a, b = sorted((roots[i], roots[j]))
+        roots = {k: a if v == b else v for k, v in roots.items()}
+    for part in (2048, 1):
+        monkeypatch.setattr(simhash, "PART", part)
+        found = simhash.similar_texts(df, cp.SHINGLE, cp.SIMILARITY, cp.BITS, cp.DISTANCE).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == roots

@@ -12,10 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, per_batch, raw_texts
+from .common import bounded_batches, checkpointed, per_batch, raw_texts
 
 #: Members of one block compared in one task; larger blocks are cut into tiles of two such parts.
 TILE = 512
+#: Texts sampled to tell common shingles, about, and shingles listed; both change costs, never results.
+SAMPLE, COMMON = 20_000, 1 << 16
+#: Texts, and bytes of their shingle sets, in one part of a cluster of candidates.
+PART, PART_BYTES = 2048, 2 << 20
 #: Odd multipliers that stretch one 64-bit hash to several words of a long fingerprint.
 STRETCH = (np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -145,6 +149,18 @@ def _tile_links(distance: int):
     return run
 
 
+def tiles(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, block, a, b) for ``blocks`` of (node, block): each block of ``sizes`` (block, parts) is cut into
+    parts by a hash, and a member goes to the tile of its part with every part of the block."""
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    return (
+        blocks.join(sizes, "block")
+        .withColumn("own", own)
+        .select("node", "block", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("node", "block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    )
+
+
 def links(classes: DataFrame, blocks: DataFrame, distance: int) -> DataFrame:
     """(u, v), u > v: edges whose components are those of all pairs at ``distance`` or less in a block.
 
@@ -153,17 +169,9 @@ def links(classes: DataFrame, blocks: DataFrame, distance: int) -> DataFrame:
     edges than it has members, so rows do not grow with the square of a block.
     """
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    tiled = (
-        blocks.join(sizes, "block")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .select("node", "block", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("node", "block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    )
+    sizes = sizes.select("block", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     grouped = (
-        tiled.join(classes.select("node", "fp"), "node")
+        tiles(blocks, sizes).join(classes.select("node", "fp"), "node")
         .groupBy("block", "a", "b")
         .agg(F.collect_list(F.struct("node", "fp")).alias("m"))
         .where(F.size("m") > 1)
@@ -173,7 +181,7 @@ def links(classes: DataFrame, blocks: DataFrame, distance: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over (u, v), for every node of an edge.
+    """(node, root): the smallest node reachable over (u, v), for every node of an edge but the roots.
 
     Alternating large-star and small-star rounds: each replaces edges by edges to the smallest
     neighbour, until none changes. All is joins and aggregates on the executors; a round ends in a
@@ -230,10 +238,164 @@ def near_duplicates(
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def _name(hashes: np.ndarray) -> int:
+    """One 64-bit name for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set, the rarest first by ``counts``: two sets of that Jaccard similarity or more
+    have one in common. They share ``ceil(similarity * n)`` of the larger's n, so leaving out all but one of so
+    many cannot leave the two prefixes apart, whatever the counts, if all sets are ordered by the same ones."""
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, counts))][: n - ceil(similarity * n - 1e-9) + 1] if n else hashes
+
+
+def _common(docs: DataFrame, shingle: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that occur in several texts of a bounded sample, and in how many."""
+    sampled = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0).distinct()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, shingle) for t in raw_texts(batch.column(0))]
+        return pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    counts = per_batch(sampled, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    got = counts.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h, c = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def _prefix_blocks(docs: DataFrame, shingle: int, similarity: float, n: int) -> DataFrame:
+    """(node, block): one row for every shingle of each set's prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle, n))  # at most COMMON shingles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, often = shared.value
+        done: set[int] = set()  # copies in one task are given once
+        for batch in batches:
+            nodes, blocks = [], []
+            for text in raw_texts(batch.column(0)):
+                own = shingle_set(text, shingle)
+                node = _name(own)
+                if node in done:
+                    continue
+                done.add(node)
+                counts = np.zeros(len(own), np.int64)
+                if len(listed):
+                    at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+                    counts = np.where(listed[at] == own, often[at], 0)
+                first = prefix(own, counts, similarity)
+                nodes.append(np.full(len(first), node, np.int64))
+                blocks.append(first.view(np.int64))
+            if nodes:
+                yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(blocks))], ["node", "block"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "node long, block long").repartition("block").distinct()
+
+
+def similar_forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int):
+    """(u, v): a spanning forest of the pairs with fingerprints at ``distance`` or less and a Jaccard similarity of
+    ``similarity`` or more. Sets are sorted; a pair is left out only where other links join it already."""
+    size = np.array([len(s) for s in sets])
+    left, right = [], []
+    alone = np.arange(len(nodes))
+    queue: list[int] = []
+    while len(alone):
+        if not queue:
+            queue, alone = [int(alone[0])], alone[1:]
+        i = queue.pop()
+        near = np.bitwise_count(fps[alone] ^ fps[i]).sum(1, dtype=np.int32) <= distance
+        near &= np.minimum(size[alone], size[i]) >= similarity * np.maximum(size[alone], size[i]) - 1e-9
+        rivals = alone[near]
+        rivals = rivals[size[rivals] > 0]
+        if not len(rivals):
+            continue
+        joined = np.concatenate([sets[j] for j in rivals])
+        at = np.minimum(np.searchsorted(sets[i], joined), size[i] - 1)
+        begin = np.cumsum(size[rivals]) - size[rivals]
+        both = np.add.reduceat((sets[i][at] == joined).astype(np.int64), begin)
+        found = rivals[both >= similarity * (size[rivals] + size[i] - both) - 1e-9]
+        left.append(np.maximum(nodes[found], nodes[i]))
+        right.append(np.minimum(nodes[found], nodes[i]))
+        alone = np.setdiff1d(alone, found, assume_unique=True)
+        queue += found.tolist()
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def similar_texts(docs: DataFrame, shingle: int, similarity: float, bits: int, distance: int) -> DataFrame:
+    """(doc_id, text_hash, component_id) for every row of ``docs``: components of all pairs whose shingle sets have
+    a Jaccard similarity of ``similarity`` or more.
+
+    Candidates share a shingle of their prefixes, which all such pairs do, and have fingerprints of distinct
+    shingles at ``distance`` or less, which is to be set so wide that no such pair is farther. In each cluster
+    of candidates, every pair that links do not join already is verified by its shingle sets. Large blocks
+    and clusters are cut into tiles, so no task holds a whole one. Sets and shingles go by 64-bit hashes.
+
+    component_id is the smallest doc_id of the component, null if it has none. text_hash is Spark's xxhash64.
+    Texts without words are copies of each other.
+    """
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle) for t in raw_texts(batch.column(2))]
+        fps = pa.array([fingerprint(s, bits) for s in sets], pa.binary())
+        nodes = pa.array([_name(s) for s in sets], pa.int64())
+        return pa.record_batch([batch.column(0), batch.column(1), nodes, fps], ["doc_id", "text_hash", "node", "fp"])
+
+    hashed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = checkpointed(per_batch(hashed, prints, "doc_id long, text_hash long, node long, fp binary"))
+    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
+    near = components(links(classes, _prefix_blocks(docs, shingle, similarity, rows.count()), distance))
+    near = near.union(near.select("root", "root").distinct())
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, shingle) for t in raw_texts(batch.column(1))]
+        names = np.array([_name(s) for s in found], np.int64)
+        mine = np.flatnonzero(names == batch.column(0).to_numpy())
+        own = [found[i] for i in mine]
+        columns = [pa.array(names[mine]), pa.array([fingerprint(s, bits) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
+        return pa.record_batch(columns, ["node", "fp", "hashes"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = [batch.column(k)[row].values for k in range(3)]
+                fps = np.frombuffer(b"".join(own[1].to_pylist()), np.uint64).reshape(len(own[1]), -1)
+                members = [np.frombuffer(x, np.uint64) for x in own[2].to_pylist()]
+                u, v = similar_forest(own[0].to_numpy(), fps, members, similarity, distance)
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    one = near.join(rows, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    texts = hashed.join(one, "text_hash").select("node", "text")
+    held = checkpointed(
+        per_batch(texts, sets, "node long, fp binary, hashes binary").groupBy("node").agg(F.first("fp").alias("fp"), F.first("hashes").alias("hashes"))
+    )
+    blocks = near.select("node", F.col("root").alias("block"))
+    sizes = blocks.join(held, "node").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes"))
+    sizes = sizes.select("block", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("bytes") / PART_BYTES)).cast("int").alias("parts"))
+    grouped = (
+        tiles(blocks, sizes).join(held, "node")
+        .groupBy("block", "a", "b")
+        .agg(F.collect_list(F.struct("node", "fp", "hashes")).alias("m"))
+        .select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"), F.col("m.hashes").alias("sets"))
+    )
+    roots = components(grouped.mapInArrow(verify, "u long, v long").distinct())
+    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "text_hash", "component_id")
+
+
 def tables_for(bits: int, width: int, similarity: float, recall: float = 0.98) -> int:
     """Tables of ``width`` sampled bits needed to meet a pair of that shingle similarity (Jaccard)."""
     agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return ceil(np.log(1 - recall) / np.log(1 - agree**width))
 
 
-__all__ = ["fingerprint", "fingerprints", "near_duplicates", "pigeonhole_masks", "shingle_hashes", "tables_for"]
+__all__ = ["fingerprint", "fingerprints", "near_duplicates", "pigeonhole_masks", "shingle_hashes", "similar_texts", "tables_for"]
