@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of near copies, the document of the smallest id; of repeated rows, one. A row without
     an id stays unless it equals a kept one in all columns. Near copies are verified by their shingle sets."""
     found = simhash.similar_texts(docs, SHINGLE, SIMILARITY, BITS, DISTANCE)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns).dropDuplicates()
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))  # ids may repeat with other texts
+    return docs.join(dropped.distinct(), same, "left_anti").select(*docs.columns).dropDuplicates()
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +44,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    leaked = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Documents in which no benchmark item is found. Rows go by their text, as ids may be null or repeat."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # never null
+    leaked = decontam.find_leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hash")).distinct()
+    return docs.join(leaked, F.xxhash64("text") == F.col("_hash"), "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,16 @@ def test_near_copies_are_those_at_the_similarity(spark, monkeypatch):
         monkeypatch.setattr(simhash, "PART", part)
         found = simhash.similar_texts(df, cp.SHINGLE, cp.SIMILARITY, cp.BITS, cp.DISTANCE).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == roots
+
+
+def test_rows_go_by_their_text(spark):
+    """A leaked or repeated text goes without an id too; another text with its id stays."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    clean = "nothing of it is in this text of a few words"
+    listed = [(None, item), (1, item), (1, clean), (None, clean), (2, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in listed], columns)
+    assert rows(cp.decontaminate(spark, df, SF), "doc_id", "text") == sorted([(1, clean), (None, clean), (2, None)], key=repr)
+    base = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, base), (2, base), (2, clean)]], columns)
+    assert rows(cp.near_duplicates(spark, df, SF), "doc_id", "text") == sorted([(1, base), (2, clean)], key=repr)
