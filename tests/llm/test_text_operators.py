@@ -130,6 +130,15 @@ def test_simhash(docs, listed, empty, monkeypatch, tile):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_classes_without_an_id_link(spark, monkeypatch):
+    """Two texts over 3 bits apart are joined through one between them that has no id."""
+    given = [(5, 0), (None, 0b111), (9, 0b111111), (None, 1 << 63 | 0xFFFF), (None, 1 << 63 | 0xFFFE)]
+    prints = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in given], "doc_id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(prints).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 5), (None, 5), (9, 5), (None, None), (None, None)], key=repr)
+
+
 def test_large_clusters_keep_their_links(spark):
     """Chains of fingerprints three bits apart, whose ends are far apart, in one block of many members."""
     rng = np.random.default_rng(1)

@@ -88,7 +88,7 @@ def spread_masks(bits: int, tables: int, width: int) -> np.ndarray:
 
 
 def _exact_blocks(classes: DataFrame, distance: int) -> DataFrame:
-    """(node, fp, block): one row for every pigeonhole mask, natively."""
+    """(node, block): one row for every pigeonhole mask, natively."""
     value = F.conv(F.hex("fp"), 16, -10).cast("long")
     keys = F.array(*(
         F.xxhash64(F.lit(i), F.col("value").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))))
@@ -215,27 +215,27 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
-    Equal fingerprints form one class, named by its smallest doc_id. With 64 bits, classes at ``distance``
+    Equal fingerprints form one class, named by the fingerprint, or a 64-bit hash of a longer one. With 64 bits, classes at ``distance``
     or less link exactly (pigeonhole masks). A longer fingerprint uses ``tables`` blocks of ``width``
     sampled bits; use it where the distance is too large for a pigeonhole. component_id is the
     smallest doc_id reachable over links.
 
     Null and empty texts have a fingerprint of zeros and link like any other. Rows with a null doc_id
-    take part: they get the component of their class, or null if the class has no id and no link.
+    take part, and classes without an id link others; only a component without any id is null.
     Repeated rows stay, one result each. Other columns of ``docs`` are not read. An empty table gives
     an empty result.
     """
     fps = checkpointed(fingerprints(docs, shingle, bits))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
+    name = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fp")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", name)
     if bits == 64:
         blocks = _exact_blocks(classes, distance)
     else:
         blocks = _spread_blocks(classes, bits, tables, width)
     roots = components(links(classes, blocks, distance))
-    named = (
-        classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    )
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
