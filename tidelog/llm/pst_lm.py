@@ -1,4 +1,10 @@
-"""Scoring of texts by a probabilistic suffix tree over bytes, with a word-unigram base beside it."""
+"""Scoring of texts by a probabilistic suffix tree over bytes, with a word-unigram base beside it.
+
+The tree is never in one place. Counts of every byte with its DEPTH bytes of context are kept in parts, by the three
+nearest bytes, so that a part holds whole subtrees; only contexts of up to TOP bytes, of which there are at most
+256 ** TOP, are broadcast. Texts are dealt to blocks; a block asks each part for its own distinct keys, packed as one
+sorted array, and gets their probabilities back. No count is left out at any size.
+"""
 
 from __future__ import annotations
 
@@ -8,75 +14,58 @@ from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, bounded_batches, crc_remainder, raw_texts
 
-#: Longest context in bytes.
-DEPTH = 5
-#: A pair of context and next byte has a count of its own from 1/PAIRS of all training bytes on, so a length
-#: has at most PAIRS pairs, whatever the corpus's size; rarer ones fall under their context's smoothing.
-PAIRS = 1 << 22
-#: A context stays if it explains its training bytes by this many nats better than its suffix does.
+#: Longest context in bytes: a symbol and its context are one 64-bit key.
+DEPTH = 7
+#: Contexts of up to this many bytes are always in the tree, and are broadcast.
+TOP = 2
+#: A longer context stays if it explains its training bytes by this many nats better than its suffix does.
 GAIN = 12.0
-#: Bytes scored together, and bytes of the texts of one block.
-BLOCK, BLOCK_TEXT = 1 << 21, 8 << 20
-#: Words that a worker counts before it hands them on.
-HELD = 200_000
-END = 10  # a line feed cannot be inside a normalised text
+#: Bytes turned into keys together, and bytes of the texts of one block.
+SLICE, BLOCK_TEXT = 4 << 20, 32 << 20
+#: Bytes of text for each part of the contexts and of the words, and most parts of either.
+PART_TEXT, WORD_TEXT, PARTS = 16 << 20, 64 << 20, 4096
+#: Keys, and words, that a worker counts before it hands them on.
+KEYS, HELD = 3 << 20, 200_000
+
+_CODEC = pa.Codec("zstd", compression_level=1)
+_COUNTED = "part int, kind int, block int, keys binary, counts binary"
 
 
 def normalised(text: bytes) -> bytes:
-    """A-Z lowered, words with one space between, and the end symbol; before it, DEPTH end symbols as context."""
+    """A-Z lowered, words with one space between, and the end symbol; before it, DEPTH end symbols as context. The
+    end is a line feed, which cannot be inside."""
     return b"\n" * DEPTH + b" ".join(text.lower().split()) + b"\n"
 
 
-def keys_of(texts: list[bytes], compact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For every symbol of the normalised texts: it in the low byte, its context above, the nearest highest, so
-    that sorted keys are sorted by every shorter context too. And where each text's symbols begin (n + 1
-    offsets). With ``compact`` also the same keys in as few bits for a byte as tell apart the byte values
-    that occur, and that number of bits."""
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol of the normalised texts: it in the low byte, its context above, the nearest highest, so that
+    sorted keys are sorted by every shorter context too. And where each text's symbols begin (n + 1 offsets)."""
     packed = [normalised(t) for t in texts]
     size = np.array([len(p) for p in packed], np.int64)
     raw = np.frombuffer(b"".join(packed), np.uint8)
-    symbol = np.ones(len(raw), bool)
+    key = raw.astype(np.uint64)
+    wide = key.copy()
+    for k in range(1, DEPTH + 1):
+        key[k:] |= wide[:-k] << np.uint64(8 * (DEPTH + 1 - k))
     begin = np.cumsum(size) - size
+    symbol = np.ones(len(raw), bool)
     for k in range(DEPTH):
         symbol[begin + k] = False
-
-    def joined(data: np.ndarray, bits: int) -> np.ndarray:
-        key = data.copy()
-        for k in range(1, DEPTH + 1):
-            key[k:] |= data[:-k] << np.uint64(bits * (DEPTH + 1 - k))
-        return key[symbol]
-
-    offsets = np.concatenate([[0], np.cumsum(size - DEPTH)])
-    if not compact:
-        return joined(raw.astype(np.uint64), 8), offsets, np.zeros(0, np.uint64), 8
-    there = np.bincount(raw, minlength=256) > 0
-    bits = max(1, int(there.sum() - 1).bit_length())
-    rank = (np.cumsum(there) - 1).clip(0).astype(np.uint64)
-    return joined(raw.astype(np.uint64), 8), offsets, joined(rank[raw], bits), bits
-
-
-def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if n is None:
-        keys = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    return key[symbol], np.concatenate([[0], np.cumsum(size - DEPTH)])
 
 
 def sliced(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Texts of about BLOCK bytes together; a longer one is alone."""
+    """Texts of about SLICE bytes together; a longer one is alone."""
     part: list[bytes] = []
     size = 0
     for t in texts:
-        if part and size + len(t) > BLOCK:
+        if part and size + len(t) > SLICE:
             yield part
             part, size = [], 0
         part.append(t)
@@ -85,256 +74,435 @@ def sliced(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def context_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): every context of DEPTH bytes with its next byte over all texts of ``docs``."""
-    bounded_batches(docs.sparkSession)
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each value of sorted ``keys`` begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
 
-        def merged():
-            k, n = _counted(np.concatenate(keys), np.concatenate(counts))
-            keys[:], counts[:] = [k], [n]
-            return len(k)
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their ``n``."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = _starts(keys)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
 
-        for batch in batches:
-            for part in sliced(raw_texts(batch.column(0))):
-                k, n = _counted(keys_of(part)[0])
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > 1 << 21:
-                    held = merged()
-                    if held > 1 << 20:
-                        yield pa.record_batch([pa.array(keys[0].astype(np.int64)), pa.array(counts[0])], ["key", "n"])
-                        keys.clear(), counts.clear()
-                        held = 0
-        if keys:
-            merged()
-            yield pa.record_batch([pa.array(keys[0].astype(np.int64)), pa.array(counts[0])], ["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, c): how often each word is in the texts of ``docs``."""
-    bounded_batches(docs.sparkSession)
+def _at(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of each of ``asked`` in sorted ``values``."""
+    if not len(values):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    return place, values[place] == asked
+
+
+# -- packed arrays: what tasks exchange
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """An array, byte by byte of like weight, compressed."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""
+    return _CODEC.compress(raw, asbytes=True)
+
+
+def _unplaned(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(_CODEC.decompress(data, n * width, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(data[8:], int.from_bytes(data[:8], "little"), np.uint64), dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Parts:
+    """How keys are dealt: contexts by a hash of their three nearest bytes, words by their own hash, and one part for
+    the counts of the shortest contexts."""
+
+    contexts: int
+    words: int
+
+    @staticmethod
+    def of(size: int) -> Parts:
+        return Parts(min(PARTS, ceil(size / PART_TEXT) or 1), min(PARTS, ceil(size / WORD_TEXT) or 1))
+
+    @property
+    def top(self) -> int:
+        return self.contexts + self.words
+
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        near = (keys >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((near >> np.uint64(40)) % np.uint64(self.contexts)).astype(np.uint16)
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) % np.uint64(self.words) + np.uint64(self.contexts)).astype(np.uint16)
+
+
+def _dealt(keys: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its keys, in order)."""
+    order = np.argsort(part, kind="stable")
+    first = np.append(_starts(part[order]), len(order))
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        yield int(part[order[a]]), order[a:b]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+# -- counting
+
+
+class _Counter:
+    """Counts by key of several arrays, merged as they come."""
+
+    def __init__(self):
+        self.keys, self.n, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(keys), self.n.append(n)
+        self.size += len(keys)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            k, n = _summed(np.concatenate(self.keys), np.concatenate(self.n))
+            self.keys, self.n, self.size = [k], [n], len(k)
+        return (self.keys[0], self.n[0]) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "kind", "block", "keys", "counts"])
+
+
+def _count(parts: Parts):
+    """Packed counts of the contexts and words of texts, a row for each part whenever a worker holds enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        contexts, top, hashed, words = _Counter(), _Counter(), _Counter(), {}
+
+        def fold_words():
+            if words:
+                h, n = word_hashes(list(words)), np.fromiter(words.values(), np.int64, len(words))
+                hashed.add(*_summed(h, n))
+                words.clear()
 
         def flush():
-            out = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
+            fold_words()
+            out = []
+            for counter, deal in ((contexts, parts.of_keys), (hashed, parts.of_words), (top, lambda k: np.full(len(k), parts.top, np.uint16))):
+                keys, n = counter.merged()
+                out += [(p, 0, 0, pack(keys[at]), _planes(n[at])) for p, at in _dealt(keys, deal(keys))]
+                counter.__init__()
+            return _rows(out)
 
         for batch in batches:
-            for text in raw_texts(batch.column(0)):
-                for w in text.lower().split():
-                    counts[w] = counts.get(w, 0) + 1
-                if len(counts) > HELD:
+            for texts in sliced(raw_texts(batch.column(0))):
+                keys = np.sort(keys_of(texts)[0])
+                first = _starts(keys)
+                n = np.diff(np.append(first, len(keys)))
+                keys = keys[first]
+                contexts.add(keys, n)
+                top.add(*_summed(short_of(keys, TOP), n))
+                for text in texts:
+                    for w in text.lower().split():
+                        words[w] = words.get(w, 0) + 1
+                    if len(words) > HELD:
+                        fold_words()
+                for counter in (contexts, top, hashed):
+                    if counter.size > 2 * KEYS:
+                        counter.merged()
+                if contexts.size > KEYS or hashed.size > KEYS:
+                    contexts.merged(), hashed.merged()
+                if contexts.size > KEYS or hashed.size > KEYS:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return run
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of _COUNTED one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(k)[i].as_py() for k in range(5))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each part, from rows sorted by part; a part's rows are merged as they come."""
+    part, held, distinct = None, _Counter(), 0
+
+    def done():
+        keys, n = held.merged()
+        return _rows([(part, 0, 0, pack(keys), _planes(n))])
+
+    for p, _, _, keys, counts in _streamed(batches):
+        if p != part:
+            if part is not None:
+                yield done()
+            part, held, distinct = p, _Counter(), 0
+        got = unpack(keys)
+        held.add(got, _unplaned(counts, len(got), np.int64))
+        if held.size > max(KEYS, 2 * distinct):
+            distinct = len(held.merged()[0])
+    if part is not None:
+        yield done()
+
+
+def counts(train: DataFrame, parts: Parts) -> DataFrame:
+    """One packed row for each part: all keys of ``train`` there, with how often they occur."""
+    bounded_batches(train.sparkSession)
+    rows = train.select("text").mapInArrow(_count(parts), _COUNTED)
+    return rows.repartition(parts.top + 1, "part").sortWithinPartitions("part").mapInArrow(_merge, _COUNTED)
+
+
+# -- the tree
+
+
+def short_of(keys: np.ndarray, depth: int, deep: int = DEPTH) -> np.ndarray:
+    """The pair of a context of ``depth`` bytes and the symbol, from pairs of ``deep`` bytes."""
+    return keys >> np.uint64(8 * (deep + 1 - depth)) << np.uint64(8) | keys & np.uint64(255)
 
 
 @dataclass
-class Tree:
-    """By depth: sorted contexts with their counts and distinct next bytes, sorted pairs with their counts."""
-
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    kinds: list[np.ndarray]
-    pairs: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """The same for keys in text order: the farthest byte of the context highest, the symbol lowest."""
-        turned = keys & np.uint64(255)
-        for k in range(1, DEPTH + 1):
-            turned |= (keys >> np.uint64(8 * k) & np.uint64(255)) << np.uint64(8 * (DEPTH + 1 - k))
-        return self.log10_of(turned)
-
-    def log10_of(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest context in the tree) of each key of keys_of; fastest if they are sorted.
-
-        A context's counts are mixed with the distribution of its suffix in the share of its distinct next
-        bytes to its count (Witten-Bell), down to the uniform distribution.
-        """
-        p = np.full(len(keys), 1 / 256)
-        for d in range(len(self.contexts)):
-            context = keys >> np.uint64(8 * (DEPTH + 1 - d))
-            pair = context << np.uint64(8) | keys & np.uint64(255)
-            at = np.searchsorted(self.contexts[d], context)
-            at[at == len(self.contexts[d])] = 0
-            if not len(self.contexts[d]):
-                break
-            inside = self.contexts[d][at] == context
-            to = np.minimum(np.searchsorted(self.pairs[d], pair), max(0, len(self.pairs[d]) - 1))
-            n = np.where(self.pairs[d][to] == pair, self.counts[d][to], 0)
-            p = np.where(inside, (n + self.kinds[d][at] * p) / (self.totals[d][at] + self.kinds[d][at]), p)
-        return np.log10(p)
-
-
-def prune(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """Grow contexts by depth and keep those whose next bytes diverge from their suffix's by GAIN nats.
-
-    The suffixes of a kept context are kept too, so the longest suffix of any history is one walk.
-    """
-    stats = []
-    for d, (key, n) in enumerate(pairs):
-        context = key >> np.uint64(8)
-        ids, inverse = np.unique(context, return_inverse=True)
-        total = np.bincount(inverse, n, len(ids)) if len(ids) else np.zeros(0)
-        kinds = np.bincount(inverse, minlength=len(ids)) if len(ids) else np.zeros(0, int)
-        keep = np.ones(len(ids), bool)
-        if d and len(ids):
-            up_key, up_n = pairs[d - 1]
-            up_ids, up_total, up_kinds, _ = stats[d - 1]
-            short = context >> np.uint64(8) << np.uint64(8) | key & np.uint64(255)
-            to = np.minimum(np.searchsorted(up_key, short), len(up_key) - 1)
-            parent = np.minimum(np.searchsorted(up_ids, short >> np.uint64(8)), len(up_ids) - 1)
-            n_up = np.where(up_key[to] == short, up_n[to], 0.5)
-            p_up = n_up / (up_total[parent] + up_kinds[parent])
-            gain = np.bincount(inverse, n * np.log((n / total[inverse]) / p_up), len(ids))
-            keep = gain >= GAIN
-        stats.append((ids, total, kinds, keep))
-    for d in range(len(pairs) - 1, 1, -1):
-        up = np.unique(stats[d][0][stats[d][3]] >> np.uint64(8))
-        stats[d - 1][3][np.isin(stats[d - 1][0], up)] = True
-    out = Tree([], [], [], [], [])
-    for (ids, total, kinds, keep), (key, n) in zip(stats, pairs):
-        out.contexts.append(ids[keep])
-        out.totals.append(total[keep])
-        out.kinds.append(kinds[keep])
-        mine = np.isin(key >> np.uint64(8), ids[keep])
-        out.pairs.append(key[mine])
-        out.counts.append(n[mine].astype(np.float64))
+class Level:
+    """Contexts of one depth with their counts and numbers of distinct next bytes; pairs with their counts."""
+
+    contexts: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(pairs: np.ndarray, counts: np.ndarray) -> Level:
+        """From sorted distinct pairs."""
+        context = pairs >> np.uint64(8)
+        first = _starts(context)
+        total = np.add.reduceat(counts, first) if len(first) else counts
+        return Level(context[first], total, np.diff(np.append(first, len(pairs))), pairs, counts)
+
+    def mixed(self, pairs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities, which contexts are here): a context's counts are mixed with the probabilities ``p`` of its
+        suffix in the share of its distinct next bytes to its count (Witten-Bell)."""
+        at, inside = _at(self.contexts, pairs >> np.uint64(8))
+        to, there = _at(self.pairs, pairs)
+        if not len(self.contexts):
+            return p, inside
+        n = np.where(there, self.counts[to], 0) if len(self.counts) else 0
+        return np.where(inside, (n + self.kinds[at] * p) / (self.totals[at] + self.kinds[at]), p), inside
+
+    def only(self, keep: np.ndarray) -> Level:
+        mine = keep[np.searchsorted(self.contexts, self.pairs >> np.uint64(8))] if len(self.pairs) else np.zeros(0, bool)
+        return Level(self.contexts[keep], self.totals[keep], self.kinds[keep], self.pairs[mine], self.counts[mine])
+
+
+def levels(keys: np.ndarray, n: np.ndarray, deep: int, shallow: int) -> list[Level]:
+    """The levels from ``shallow`` to ``deep`` bytes, of pairs of ``deep`` bytes."""
+    out = [Level.of(keys, n)]
+    for d in range(deep - 1, shallow - 1, -1):
+        keys, n = _summed(short_of(keys, d, d + 1), n)
+        out.insert(0, Level.of(keys, n))
     return out
 
 
-def grow(train: DataFrame) -> Tree:
-    """The tree of all training texts: counts over every byte of them, gathered by Spark; only pairs of at least
-    1/PAIRS of the bytes, at most PAIRS for a depth, come to the driver for the divergence tests."""
-    stored = Stored(train.sparkSession)
-    counts = stored(context_counts(train))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(1, total // PAIRS)
-    pairs = []
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:  # the farthest byte goes, so each length is summed from the one above
-            short = F.shiftright(F.col("key"), 16) * 256 + F.col("key").bitwiseAND(F.lit(255))
-            longer, counts = counts, stored(counts.groupBy(short.alias("key")).agg(F.sum("n").alias("n")))
-            stored.drop(longer)
-        got = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-        key, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
-        order = np.argsort(key)
-        pairs.insert(0, (key[order], n[order]))
-    stored.drop(counts)
-    return prune(pairs)
-
-
-def score_texts(tree: Tree, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text's normalised bytes and end."""
-    out = []
+def prune(found: list[Level], above: Level) -> list[Level]:
+    """The contexts whose next bytes diverge from their suffix's by GAIN nats, and all suffixes of such contexts, so
+    that the longest state of any history is one walk. ``above`` is the level before the first."""
+    keep = []
+    for level, up in zip(found, [above, *found]):
+        if not len(level.pairs):
+            keep.append(np.zeros(0, bool))
+            continue
+        context = np.repeat(np.arange(len(level.contexts)), level.kinds)
+        short = level.pairs >> np.uint64(16) << np.uint64(8) | level.pairs & np.uint64(255)
+        to, _ = _at(up.pairs, short)  # it is there: a pair's own bytes are counted for its suffix too
+        parent, _ = _at(up.contexts, short >> np.uint64(8))
+        p_up = up.counts[to] / (up.totals[parent] + up.kinds[parent])
+        gain = np.bincount(context, level.counts * np.log(level.counts / level.totals[context] / p_up), len(level.contexts))
+        keep.append(gain >= GAIN)
+    for d in range(len(found) - 1, 0, -1):
+        at, inside = _at(found[d - 1].contexts, np.unique(found[d].contexts[keep[d]] >> np.uint64(8)))
+        keep[d - 1][at[inside]] = True
+    return [level.only(k) for level, k in zip(found, keep)]
+
+
+def log10_of(top: list[Level], tree: list[Level], keys: np.ndarray) -> np.ndarray:
+    """log10 P(symbol | longest context in the tree) of each of the sorted ``keys``, down to the uniform distribution.
+    ``top``: the levels of 0 to TOP bytes; ``tree``: the kept ones after them."""
+    short, back = np.unique(short_of(keys, TOP), return_inverse=True)
+    p = np.full(len(short), 1 / 256)
+    for d, level in enumerate(top):
+        p, _ = level.mixed(short_of(short, d, TOP), p)
+    p = p[back]
+    going = np.arange(len(keys))
+    for d, level in enumerate(tree, TOP + 1):
+        value, inside = level.mixed(short_of(keys[going], d), p[going])
+        p[going] = value
+        going = going[inside]  # a context outside has no longer one inside
+    return np.log10(p)
+
+
+def _answer(parts: Parts, shared):
+    """Answers to packed questions (kind 1), from rows sorted by part with its counts (kind 0) first: log10
+    probabilities of contexts, counts of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree, words = None, [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for p, kind, block, keys, counts in _streamed(batches):
+            if p != part:
+                part, tree, words = p, [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            asked = unpack(keys)
+            if kind == 0:
+                n = _unplaned(counts, len(asked), np.int64)
+                if p < parts.contexts:
+                    tree = prune(levels(asked, n, DEPTH, TOP + 1), shared.value[TOP])
+                else:
+                    words = asked, n
+            elif p < parts.contexts:
+                yield _rows([(p, 0, block, None, _planes(log10_of(shared.value, tree, asked).astype(np.float32)))])
+            else:
+                at, there = _at(words[0], asked)
+                yield _rows([(p, 0, block, None, _planes(np.where(there, words[1][at], 0) if len(words[1]) else np.zeros(len(asked), np.int64)))])
+
+    return run
+
+
+# -- scoring
+
+
+def distinct_keys(texts: list[bytes]) -> np.ndarray:
+    """The distinct keys of all texts, sorted."""
+    held = np.zeros(0, np.uint64)
     for part in sliced(texts):
-        keys, begin, compact, bits = keys_of(part, compact=True)
-        total = np.zeros(len(part))
-        places = min(22, 64 - bits * (DEPTH + 1))  # bits beside a compact key, for its place: one sort finds equal keys
-        for start in range(0, len(keys), 1 << places):
-            piece = compact[start : start + (1 << places)]
-            mixed = np.sort(piece << np.uint64(places) | np.arange(len(piece), dtype=np.uint64))
-            of = mixed >> np.uint64(places)
-            place = (mixed & np.uint64((1 << places) - 1)).astype(np.int64)
-            new = np.concatenate([[True], of[1:] != of[:-1]])
-            value = np.empty(len(piece))
-            value[place] = tree.log10_of(keys[start + place[new]])[np.cumsum(new) - 1]
-            rows = np.flatnonzero((begin[:-1] < start + len(piece)) & (begin[1:] > start))
-            total[rows] += np.add.reduceat(value, np.maximum(begin[rows] - start, 0))
-        out.append(total)
-    return np.concatenate(out) if out else np.zeros(0)
+        keys = np.sort(keys_of(part)[0])
+        keys = np.sort(np.concatenate([held, keys[_starts(keys)]]))
+        held = keys[_starts(keys)]
+    return held
 
 
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(doc_id, text-free scores) for every row of ``docs`` by models of all rows of ``train``.
+def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words and their hashes, in the order of the hashes."""
+    words = list({w for t in texts for w in t.lower().split()})
+    hashes = word_hashes(words)
+    order = np.argsort(hashes)
+    return [words[i] for i in order.tolist()], hashes[order]
 
-    Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score. Tokens are words and one end.
-    Texts are dealt to blocks of bounded size by a hash; a block asks for the counts of its own distinct
-    words by a join, so the vocabulary, which grows with the corpus, is never broadcast. Null and
-    empty texts have the end token only. Without training texts the base knows nothing and the tree
-    is the uniform distribution. Repeated rows stay; other columns are not read.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    stored = Stored(spark)
-    counts = stored(word_counts(train))  # read by the result, so it stays
-    ends = train.count()
-    known = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, v_all = (known["n"] or 0) + ends, known["v"] + (ends > 0)
-    shared = spark.sparkContext.broadcast(grow(train))  # at most PAIRS pairs for each depth
-    stored.release()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, ceil(size / BLOCK_TEXT))
-    dealt = docs.select(
-        F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    ).repartition(blocks, "block")
-
-    # a block is in one task, so a word is asked for once by a block, or again after a flush
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
 
-        def flush():
-            rows = [(w, b) for b, ws in held.items() for w in ws]
-            held.clear()
-            return pa.record_batch(
-                [pa.array([w for w, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.int32())], ["word", "block"]
-            )
+def _ask(parts: Parts):
+    def run(group: pa.Table) -> pa.Table:
+        texts = raw_texts(group["text"].combine_chunks())
+        block = group["block"][0].as_py()
+        keys, words = distinct_keys(texts), distinct_words(texts)[1]
+        rows = [(p, 1, block, pack(k[at]), None) for k, deal in ((keys, parts.of_keys), (words, parts.of_words)) for p, at in _dealt(k, deal(k))]
+        return pa.Table.from_batches([_rows(rows)])
 
-        for batch in batches:
-            for text, block in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
-                held.setdefault(block, set()).update(text.lower().split())
-            if sum(map(len, held.values())) > 2 * HELD:
-                yield flush()
-        yield flush()
+    return run
+
+
+def sums_of(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each text the sum of the values of its keys; ``keys`` are sorted and hold all of them."""
+    out = []
+    for part in sliced(texts):
+        own, begin = keys_of(part)
+        order = np.argsort(own)
+        found = np.empty(len(own))
+        first = _starts(own[order])
+        found[order] = np.repeat(values[np.searchsorted(keys, own[order[first]])], np.diff(np.append(first, len(own))))
+        out.append(np.add.reduceat(found, begin[:-1]))
+    return np.concatenate(out) if out else np.zeros(0)
 
-    asked = dealt.select("text", "block").mapInArrow(distinct_words, "word binary, block int")
-    answered = asked.join(counts, "word").select("block", "word", "c")
+
+def _finish(parts: Parts, ends: int, n_all: int, v_all: int):
     denominator = n_all + 0.5 * (v_all + 1)
 
-    def finish(texts: pa.Table, words: pa.Table) -> pa.Table:
-        tree = shared.value
-        value = dict(zip(words["word"].to_pylist(), np.log10((words["c"].to_numpy() + 0.5) / denominator).tolist()))
-        unseen, end = log10(0.5 / denominator), log10((ends + 0.5) / denominator)
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         raw = raw_texts(texts["text"].combine_chunks())
+        given = dict(zip(answers["part"].to_pylist(), answers["counts"].to_pylist()))
+
+        def answered(keys, deal, kind):
+            out = np.zeros(len(keys), kind)
+            for p, at in _dealt(keys, deal(keys)):
+                out[at] = _unplaned(given[p], len(at), kind)
+            return out
+
+        keys = distinct_keys(raw)
+        score = sums_of(raw, keys, answered(keys, parts.of_keys, np.float32))
+        words, hashes = distinct_words(raw)
+        count = answered(hashes, parts.of_words, np.int64)
+        value = dict(zip(words, np.log10((count + 0.5) / denominator).tolist()))
+        unknown = {w for w, c in zip(words, count.tolist()) if not c}
+        end = log10((ends + 0.5) / denominator)
         tokens, seen, base = [], [], []
         for text in raw:
             own = text.lower().split()
-            found = [value.get(w) for w in own]
-            missing = found.count(None)
             tokens.append(len(own) + 1)
-            seen.append(len(own) - missing + (ends > 0))
-            base.append(sum(x for x in found if x is not None) + missing * unseen + end)
+            seen.append(sum(w not in unknown for w in own) + (ends > 0))
+            base.append(sum(map(value.__getitem__, own)) + end)
+        longs = [pa.array(x, pa.int64()) for x in (tokens, seen, [n_all] * len(raw))]
         return pa.table(
-            {
-                "doc_id": texts["doc_id"],
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "n_known": pa.array(seen, pa.int64()),
-                "train_tokens": pa.array([n_all] * len(raw), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(score_texts(tree, raw), pa.float64()),
-            }
+            [texts["doc_id"].combine_chunks(), *longs, pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    return run
+
+
+def score(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` by models of all rows of
+    ``train``. Tokens are words and one end; words go by 64-bit hashes.
+
+    Texts are dealt to blocks evenly, equal rows too. Null and empty texts have the end token only. Without training
+    texts the base knows nothing and the tree is the uniform distribution. Repeated rows stay; other columns are
+    not read; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    stored = Stored(spark)
+    size = F.sum(F.octet_length("text"))
+    learnt = train.agg(size.alias("size"), F.count(F.lit(1)).alias("n")).first()
+    parts, ends = Parts.of(learnt["size"] or 0), learnt["n"]
+    model = stored(counts(train, parts))  # read by the result, so it stays
+    top, n_words, v_words = levels(np.zeros(0, np.uint64), np.zeros(0, np.int64), TOP, 0), 0, 0
+    for row in model.where(F.col("part") == parts.top).toLocalIterator():  # one, of at most 256 ** (TOP + 1) keys
+        keys = unpack(row["keys"])
+        top = levels(keys, _unplaned(row["counts"], len(keys), np.int64), TOP, 0)
+    tally = model.where(F.col("part").between(parts.contexts, parts.top - 1)).select("keys", "counts").mapInArrow(_tally, "n long, v long")
+    known = tally.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n_words, v_words = known["n"] or 0, known["v"] or 0
+    shared = spark.sparkContext.broadcast(top)
+    total = docs.agg(size).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(1, ceil(total / BLOCK_TEXT), min(2 * cores, ceil(total / SLICE)))
+    block = F.pmod(F.monotonically_increasing_id() + F.xxhash64("text"), F.lit(blocks)).cast("int")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_ask(parts), _COUNTED)
+    both = model.where(F.col("part") < parts.top).unionByName(asked)
+    answers = both.repartition(parts.top, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(parts, shared), _COUNTED)
     return (
         dealt.groupBy("block")
-        .cogroup(answered.groupBy("block"))
-        .applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(
+            _finish(parts, ends, n_words + ends, v_words + (ends > 0)),
+            "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        )
     )
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(occurrences, distinct keys) of each packed row."""
+    for batch in batches:
+        for keys, counts in zip(batch.column(0), batch.column(1)):
+            v = int.from_bytes(keys.as_py()[:8], "little")
+            yield pa.record_batch([pa.array([int(_unplaned(counts.as_py(), v, np.int64).sum())]), pa.array([v])], ["n", "v"])
+
+
 def held_out(docs: DataFrame) -> DataFrame:
     """Learn from rows whose crc32(doc_id) mod 5 is not 1, score every row; adds held_out."""
     return score(docs, docs.where(crc_remainder("doc_id", 5) != 1)).withColumn("held_out", crc_remainder("doc_id", 5) == 1)
-
-
