@@ -20,6 +20,8 @@ def texts():
     shared = prose(rng, 120)
     out = [prose(rng, rng.choice([1, 2, 5, 60, 150, 300])) for _ in range(60)]
     out += [prose(rng, 40) + "\n" + shared + "\n" + prose(rng, 50) for _ in range(8)]
+    short = " ".join("of the or an it" for _ in range(15))[:300]  # over 50 words in under 400 bytes
+    out += [prose(rng, 30) + " " + short + f" {i} " + prose(rng, 30) for i in range(3)]
     out += [out[3], out[3], out[60], None, None, "", "", " \t\n\x0b\x0c\r ", "one", "one two", "   x\x1cy \x00"]
     base = prose(rng, 200).split(" ")
     for i in range(6):

@@ -190,18 +190,24 @@ def brute_repeats(texts, least):
     return out
 
 
+def flagged_runs(flags):
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
 @pytest.mark.parametrize("hot,block", [(1000, 1 << 20), (1, 700)])
 def test_suffix_dedup(docs, listed, empty, monkeypatch, hot, block):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 1: anchors are cut over shards, which then merge
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)  # small: long texts are taken in parts
     raw = [(t or "").encode() for _, t in listed]
     want = []
-    for (i, _), b, gone in zip(listed, raw, brute_repeats(raw, 400)):
+    for (i, _), b, gone, low in zip(listed, raw, brute_repeats(raw, 400), brute_repeats(raw, 200)):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want.append((i, len(b), int(gone.sum()), runs, sha(bytes(np.frombuffer(b, np.uint8)[~gone]))))
-    got = rows(suffix_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        long = [b[x:y] for x, y in flagged_runs(low) if len(b[x:y].split()) > 50]
+        want.append((i, len(b), int(gone.sum()), runs, sha(bytes(np.frombuffer(b, np.uint8)[~gone])), len(long), sum(map(len, long))))
+    got = rows(suffix_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
     assert got == sorted(want, key=repr)
-    assert any(0 < w[2] < w[1] for w in want)
+    assert any(0 < w[2] < w[1] for w in want) and any(w[5] and not w[2] for w in want)
     if hot > 1:
         assert suffix_dedup.digest(empty).count() == 0
 
@@ -317,30 +323,73 @@ def test_transducer_and_long_words(tmp_path):
 # -- LM
 
 
-def test_lm(docs, listed, empty):
+def brute_tree(texts):
+    """(counts by context, kept contexts) straight from the definition."""
+    counts = {}
+    for t in texts:
+        x = pst_lm.normalised(t)
+        for i in range(pst_lm.DEPTH, len(x)):
+            for d in range(pst_lm.DEPTH + 1):
+                own = counts.setdefault(x[i - d : i], {})
+                own[x[i]] = own.get(x[i], 0) + 1
+    kept = {c for c in counts if len(c) <= pst_lm.TOP}
+    for c, own in counts.items():
+        if len(c) > pst_lm.TOP:
+            up, total = counts[c[1:]], sum(own.values())
+            smooth = sum(up.values()) + len(up)
+            if sum(n * np.log(n / total / (up[s] / smooth)) for s, n in own.items()) >= pst_lm.GAIN:
+                kept |= {c[k:] for k in range(len(c))}
+    return counts, kept
+
+
+def brute_log10(counts, kept, text):
+    x, total = pst_lm.normalised(text), 0.0
+    for i in range(pst_lm.DEPTH, len(x)):
+        p = 1 / 256
+        for d in range(pst_lm.DEPTH + 1):
+            own = counts.get(x[i - d : i], {})
+            if x[i - d : i] not in kept:
+                break
+            p = (own.get(x[i], 0) + len(own) * p) / (sum(own.values()) + len(own))
+        total += np.log10(p)
+    return total
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (pst_lm.unpack(pst_lm.pack(keys)) == keys).all()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm(spark, docs, listed, empty, monkeypatch, small):
     import zlib
 
-    train = [t for i, t in listed if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    counts = Counter(w for t in train for w in (t or "").encode().lower().split())
+    if small:  # many parts and blocks, counts handed on early: the scores are the same
+        for name, value in (("PART_TEXT", 1 << 12), ("WORD_TEXT", 1 << 13), ("BLOCK_TEXT", 1 << 13), ("SLICE", 1 << 11), ("KEYS", 500), ("HELD", 50)):
+            monkeypatch.setattr(pst_lm, name, value)
+    train = [(t or "").encode() for i, t in listed if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in t.lower().split())
     n, v = sum(counts.values()) + len(train), len(counts) + 1
     got = pst_lm.held_out(docs).collect()
     text = {}
     for i, t in listed:
         text.setdefault(i, t)
     assert len(got) == len(listed)
-    # the tree's own counts, by brute force: a context's row sums to one, and texts score as their symbols do
-    tree = pst_lm.grow(docs.where("doc_id is null or crc32(cast(doc_id as string)) % 5 != 1"))
-    contexts = np.random.default_rng(1).integers(0, 1 << 40, 20, dtype=np.uint64)
-    for c in [0x0A0A0A0A0A, *contexts.tolist()]:
-        keys = np.array([c << 8 | b for b in range(256)], np.uint64)
-        assert (10 ** tree.log10(keys)).sum() == pytest.approx(1)
+    tree = brute_tree(train)
+    assert {len(c) for c in tree[1]} == set(range(pst_lm.DEPTH + 1)) and len(tree[1]) < len(tree[0])
+    known = {}
     for r in got:
         w = (text[r["doc_id"]] or "").encode().lower().split()
         base = sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w) + np.log10((len(train) + 0.5) / (n + 0.5 * (v + 1)))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(x in counts for x in w) + 1, n)
         assert r["base_score"] == pytest.approx(base)
-        symbols = b"\n" * 5 + b" ".join(w) + b"\n"
-        if len(symbols) < 2000:
-            keys = np.array([int.from_bytes(symbols[i - 5 : i + 1], "big") for i in range(5, len(symbols))], np.uint64)
-            assert r["score"] == pytest.approx(tree.log10(keys).sum())
-    assert pst_lm.held_out(empty).count() == 0
+        if r["doc_id"] is not None:
+            known[r["doc_id"]] = r["score"]
+    for i in list(known)[:: 1 if not small else 3]:
+        assert known[i] == pytest.approx(brute_log10(*tree, (text[i] or "").encode()), rel=1e-5)
+    if small:
+        assert pst_lm.held_out(empty).count() == 0
+        alone = pst_lm.score(docs.limit(3), empty).collect()
+        assert len(alone) == 3 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in alone)

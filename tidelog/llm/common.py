@@ -95,8 +95,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of each text; null is empty."""
-    return pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"").to_pylist()
+    """The UTF-8 bytes of each text, or the bytes of a binary column; null is empty."""
+    return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:

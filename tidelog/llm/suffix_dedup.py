@@ -134,7 +134,60 @@ def _all_regions(texts: DataFrame, least: int) -> DataFrame:
         return pa.record_batch(arrays, ["h1", "h2", "first", "begins", "anchor", "r"])
 
     schema = "h1 long, h2 long, first long, begins long, anchor long, r long"
-    return per_batch(texts.where(F.octet_length("text") >= least).select("h1", "h2", "text"), run, schema).distinct()
+    return per_batch(texts.select("h1", "h2", "text"), run, schema).distinct()
+
+
+_OCCURRENCES = "anchor long, r long, n long, h1 long, h2 long, first long, begins long, occ binary"
+
+
+def _packed(found: DataFrame) -> DataFrame:
+    """One row for each region of a batch: how many occurrences it has there, one of them, and all of them as
+    32 bytes each in occ (null for one). A region that very many texts share is a few rows, bounded by a batch's
+    size, wherever it goes from here."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = {c: batch.column(c).to_numpy() for c in ("anchor", "r", "h1", "h2", "first", "begins")}
+        order = np.lexsort((column["first"], column["h2"], column["h1"], column["r"], column["anchor"]))
+        c = {k: v[order] for k, v in column.items()}
+        new = np.flatnonzero(np.concatenate([[True], (c["anchor"][1:] != c["anchor"][:-1]) | (c["r"][1:] != c["r"][:-1])]))
+        ends = np.append(new[1:], len(order))
+        rows = np.stack([c["h1"], c["h2"], c["first"], c["begins"]], 1)
+        occ = [rows[a:b].tobytes() if b - a > 1 else None for a, b in zip(new.tolist(), ends.tolist())]
+        one = [pa.array(c[k][new]) for k in ("h1", "h2", "first", "begins")]
+        return pa.record_batch(
+            [pa.array(c["anchor"][new]), pa.array(c["r"][new]), pa.array(ends - new), *one, pa.array(occ, pa.binary())],
+            ["anchor", "r", "n", "h1", "h2", "first", "begins", "occ"],
+        )
+
+    return per_batch(found.select("anchor", "r", "h1", "h2", "first", "begins"), run, _OCCURRENCES)
+
+
+def _joined_spans(h1: np.ndarray, h2: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Spans of one text that meet become one."""
+    order = np.lexsort((lo, h2, h1))
+    h1, h2, lo, hi = h1[order], h2[order], lo[order], hi[order]
+    new = np.ones(len(lo), bool)
+    if len(lo) > 1:
+        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        text = np.concatenate([[0], np.cumsum(~same)])
+        reach = np.maximum.accumulate(hi + text * (1 << 40)) - text * (1 << 40)  # the farthest end so far in this text
+        new[1:] = ~same | (lo[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    ends = np.maximum.reduceat(hi, at) if len(at) else hi
+    return pa.record_batch([pa.array(x.astype(np.int64)) for x in (h1[at], h2[at], lo[at], ends)], ["h1", "h2", "lo", "hi"])
+
+
+def _whole(rows: DataFrame, least: int) -> DataFrame:
+    """(h1, h2, lo, hi) of all occurrences in packed ``rows``; those of one batch that meet are one."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = batch.column("occ").to_pylist()
+        alone = np.array([x is None for x in packed])
+        plain = np.stack([batch.column(c).to_numpy()[alone] for c in ("h1", "h2", "first", "begins")], 1)
+        every = np.concatenate([plain, np.frombuffer(b"".join(x for x in packed if x is not None), np.int64).reshape(-1, 4)])
+        return _joined_spans(every[:, 0], every[:, 1], every[:, 2], every[:, 2] + every[:, 3] - 1 + least)
+
+    return per_batch(rows.select("h1", "h2", "first", "begins", "occ"), run, "h1 long, h2 long, lo long, hi long")
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -257,11 +310,7 @@ def _in_shard(least: int, ranges: int):
     cuts = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
 
     def run(group: pa.Table) -> pa.Table:
-        seen, rows = set(), []
-        for row in zip(*(group[c].to_pylist() for c in ("anchor", "r", "h1", "h2", "first", "begins", "occurs", "cut", "piece"))):
-            if row[:2] not in seen:
-                seen.add(row[:2])
-                rows.append(row[2:])
+        rows = list(zip(*(group[c].to_pylist() for c in ("h1", "h2", "first", "begins", "occurs", "cut", "piece"))))
         repeated, later = repeated_begins([r[6] for r in rows], least)
         spans, hashes, refs = [], [], []
         at = 0
@@ -299,19 +348,27 @@ def _in_shard(least: int, ranges: int):
     return run
 
 
+def _there(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of ``asked`` are in ``sorted_values``, by binary search."""
+    if not len(sorted_values):
+        return np.zeros(len(asked), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)] == asked
+
+
 def _merge(least: int):
     """Slices of sorted digests, one from each shard: a digest in two slices is a string in two shards."""
 
     def run(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(d, np.uint64).reshape(-1, 2) for d in group["digests"].to_pylist()]
         refs = [np.frombuffer(r, np.int64).reshape(-1, 3) for r in group["refs"].to_pylist()]
-        every = np.sort(np.concatenate([p[:, 0] ^ p[:, 1] * np.uint64(3) for p in parts]))
-        found = []
-        for p, r in zip(parts, refs):
-            key = p[:, 0] ^ p[:, 1] * np.uint64(3)
-            twice = np.searchsorted(every, key, "right") - np.searchsorted(every, key, "left") > 1
-            found.append(r[twice & (r[:, 2] >= 0)])
-        got = np.concatenate(found)
+        every = np.sort(np.concatenate([p[:, 0] for p in parts]))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])  # first words that occur again; only these need the second
+        like = [np.flatnonzero(_there(twice, p[:, 0])) for p in parts]
+        pairs = np.concatenate([p[i] for p, i in zip(parts, like)])
+        name = np.unique(pairs, axis=0, return_inverse=True)[1].ravel() if len(pairs) else np.zeros(0, np.int64)
+        again = np.bincount(name)[name] > 1 if len(pairs) else np.zeros(0, bool)
+        ref = np.concatenate([r[i] for r, i in zip(refs, like)])
+        got = ref[again & (ref[:, 2] >= 0)]
         return pa.table({"h1": got[:, 0], "h2": got[:, 1], "lo": got[:, 2], "hi": got[:, 2] + least})
 
     return run
@@ -324,28 +381,26 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed = docs.select(*text_key(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(bytearray()))
+    keyed = docs.select(*text_key(text), text.alias("text"), "doc_id").where(F.octet_length("text") >= least)
+    rows = keyed.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     classes = checkpointed(
-        keyed.where(F.octet_length("text") >= least)
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
+        rows.groupBy("h1", "h2").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "n")).alias("one"))
+        .select("h1", "h2", "copies", F.col("one.doc_id").alias("one"), F.col("one.n").alias("ties"))
     )
     stored = Stored(spark)
     found = stored(_all_regions(keyed, least))
     # counts are stored before they are joined: then Spark may split a hot anchor's rows over several tasks,
     # which it can't while one stage both counts and joins them
     twice = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    repeated = stored(found.join(twice, "anchor", "left_semi"))
+    repeated = stored(_packed(found.join(twice, "anchor", "left_semi")))
     stored.drop(found, twice)
     by_region = stored(
         repeated.groupBy("anchor", "r")
-        .agg(F.count(F.lit(1)).alias("occurs"), F.min(F.struct("h1", "h2", "first", "begins")).alias("one"))
+        .agg(F.sum("n").alias("occurs"), F.min(F.struct("h1", "h2", "first", "begins")).alias("one"))
         .select("anchor", "r", "occurs", "one.*")
     )
-    whole = (
-        repeated.join(by_region.where("occurs > 1").select("anchor", "r"), ["anchor", "r"])
-        .select("h1", "h2", F.col("first").alias("lo"), (F.col("first") + F.col("begins") - 1 + least).alias("hi"))
-    )
+    whole = _whole(repeated.join(by_region.where("occurs > 1").select("anchor", "r"), ["anchor", "r"], "left_semi"), least)
     several = stored(by_region.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     mixed = stored(by_region.join(several, "anchor"))
     totals = mixed.agg(
@@ -358,12 +413,13 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
         "h1", "h2", "first", "begins", "occurs", "anchor", "r", (F.col("n") > HOT).alias("cut"),
         F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).cast("int").alias("shard"),
     )
-    # bytes come from one row of each text
-    texts = keyed.where(F.octet_length("text") >= least).join(classes.select("h1", "h2", "one"), ["h1", "h2"]).where(
-        F.col("doc_id").eqNullSafe(F.col("one"))
-    )
-    pieces = dealt.join(texts.select("h1", "h2", "text"), ["h1", "h2"]).select(
-        *dealt.columns, F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("begins") + least - 1).cast("int")).alias("piece")
+    # bytes come from one row of each text: that of its least id; where equal rows share that id, from any
+    wanted = keyed.join(classes.select("h1", "h2", "one", "ties"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("one")))
+    texts = wanted.where("ties = 1").select("h1", "h2", "text")
+    if classes.where("ties > 1").limit(1).count():
+        texts = texts.unionByName(wanted.where("ties > 1").select("h1", "h2", "text").dropDuplicates(["h1", "h2"]))
+    pieces = dealt.join(texts, ["h1", "h2"]).select(
+        *dealt.columns, F.substring("text", F.col("first").cast("int") + 1, (F.col("begins") + least - 1).cast("int")).alias("piece")
     )
     shard_out = stored(pieces.groupBy("shard").applyInArrow(_in_shard(least, ranges), _SHARD_OUT))
     merged = (
@@ -400,48 +456,114 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _with_spans(docs: DataFrame, least: int) -> DataFrame:
-    """``docs`` with copies and the flat array _spans (lo, hi, lo, hi, ...), of the whole text if it has copies."""
-    spans = repeated_spans(docs, least)
-    key = [k.alias(f"_{n}") for k, n in zip(text_key(F.coalesce("text", F.lit(""))), ("h1", "h2"))]
-    flat = F.flatten(F.transform("spans", lambda s: F.array(s["lo"], s["hi"])))
-    ready = spans.select(
-        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.when(F.col("copies") > 1, F.array(F.lit(0).cast("long"), F.lit(-1).cast("long"))).otherwise(flat).alias("_spans")
-    ).where("_spans is not null")
-    return docs.select("*", *key).join(ready, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+#: The span of a text that several rows have: all of it.
+_ALL = [0, -1]
+
+
+def _flat(copies: Column, spans: Column) -> Column:
+    """Spans as (lo, hi, lo, hi, ...), _ALL for a text that has copies."""
+    return F.when(copies > 1, F.array(*(F.lit(x).cast("long") for x in _ALL))).otherwise(
+        F.flatten(F.transform(spans, lambda s: F.array(s["lo"], s["hi"])))
+    )
 
 
 def _spans_of(raw: bytes, flat: list[int] | None) -> list[tuple[int, int]]:
     if not flat:
         return []
-    if flat == [0, -1]:
+    if flat == _ALL:
         return [(0, len(raw))]
     return _union(list(zip(flat[::2], flat[1::2])))
 
 
-def digest(docs: DataFrame, least: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
+def _keyed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``found`` beside its _h1 and _h2, by the hash of text; without a match they are null."""
+    key = [k.alias(f"_{n}") for k, n in zip(text_key(F.coalesce("text", F.lit(""))), ("h1", "h2"))]
+    return docs.select("*", *key).join(found, ["_h1", "_h2"], "left")
+
+
+def _with_spans(docs: DataFrame, least: int) -> DataFrame:
+    """``docs`` with the flat array _spans of their repeated strings."""
+    spans = repeated_spans(docs, least)
+    ready = spans.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), _flat(F.col("copies"), F.col("spans")).alias("_spans"))
+    return _keyed(docs, ready.where("_spans is not null")).drop("_h1", "_h2")
+
+
+def _with_nested_spans(docs: DataFrame, least: int, lower: int) -> DataFrame:
+    """``docs`` (doc_id, text) with the flat arrays _low, of strings of ``lower`` bytes that repeat, and _spans, of
+    ``least`` bytes, which is more.
+
+    A string of ``least`` bytes that repeats lies within a run of shorter ones, here and there. So only the runs of
+    ``least`` bytes or more are searched for it, as texts of their own.
+    """
+    stored = Stored(docs.sparkSession)
+    low = stored(
+        repeated_spans(docs, lower).select("h1", "h2", _flat(F.col("copies"), F.col("spans")).alias("_low")).where("_low is not null")
+    )
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], []]
+        for i, (raw, flat) in enumerate(zip(raw_texts(batch.column(3)), batch.column(4).to_pylist())):
+            for a, b in _spans_of(raw, flat):
+                if b - a >= least:
+                    for column, value in zip(out, (i, a, raw[a:b])):
+                        column.append(value)
+        at = pa.array(out[0], pa.int64())
+        return pa.record_batch(
+            [*(batch.column(k).take(at) for k in range(3)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
+            ["_h1", "_h2", "doc_id", "lo", "text"],
+        )
+
+    ready = low.withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
+    long = _keyed(docs.where(F.octet_length("text") >= least), ready).where("_low is not null").select("_h1", "_h2", "doc_id", "text", "_low")
+    pieces = stored(per_batch(long, runs, "_h1 long, _h2 long, doc_id long, lo long, text binary"))
+    exact = repeated_spans(pieces, least)
+    named = pieces.select("_h1", "_h2", "lo", F.octet_length("text").alias("size"), *text_key(F.col("text"))).dropDuplicates(["_h1", "_h2", "lo"])
+    moved = F.when(F.col("copies") > 1, F.array(F.col("lo"), F.col("lo") + F.col("size"))).otherwise(
+        F.transform(F.flatten(F.transform("spans", lambda s: F.array(s["lo"], s["hi"]))), lambda x: x + F.col("lo"))
+    )
+    found = stored(
+        named.join(exact, ["h1", "h2"]).select("_h1", "_h2", moved.alias("moved")).where("moved is not null")
+        .groupBy("_h1", "_h2").agg(F.flatten(F.sort_array(F.collect_list("moved"))).alias("_spans"))
+    )
+    stored.drop(pieces)
+    return _keyed(docs, ready.join(found, ["_h1", "_h2"], "left")).drop("_h1", "_h2")
+
+
+def _long_runs(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Those with more than ``words`` words."""
+    return [(a, b) for a, b in spans if len(raw[a:b].split()) > words]
+
+
+def digest(docs: DataFrame, least: int = 400, passage: int = 200, words: int = 50) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes) for every row of ``docs``.
 
     Removed is each byte inside a string of ``least`` bytes that begins anywhere else too, in the same text or
-    another; texts do not join. Null and empty texts have no bytes; rows with equal texts count as two
-    occurrences; null or repeated ids are no matter. Other columns are not read; an empty table gives no rows.
+    another; texts do not join. Passages are runs of strings of ``passage`` bytes, at most ``least``, that begin
+    elsewhere too, of more than ``words`` words; they are counted, and removed only as far as the above says. Null
+    and empty texts have no bytes; rows with equal texts count as two occurrences; null or repeated ids are no
+    matter. Other columns are not read; an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, removed, count, kept = [], [], [], []
-        for raw, flat in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist()):
+        sizes, removed, count, kept, passages, inside = [], [], [], [], [], []
+        for raw, flat, low in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             spans = _spans_of(raw, flat)
+            long = _long_runs(raw, _spans_of(raw, low), words)
             sizes.append(len(raw))
             removed.append(sum(b - a for a, b in spans))
             count.append(len(spans))
             kept.append(hashlib.sha256(_cut(raw, spans) if spans else raw).hexdigest())
+            passages.append(len(long))
+            inside.append(sum(b - a for a, b in long))
+        numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, count, passages, inside)]
         return pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept)],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column(0), *numbers[:3], pa.array(kept), *numbers[3:]],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"],
         )
 
-    joined = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), least).select("doc_id", "text", "_spans")
-    return per_batch(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _with_nested_spans(docs.select(F.col("doc_id").cast("long"), "text"), least, passage)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+    return per_batch(joined.select("doc_id", "text", "_spans", "_low"), run, schema)
 
 
 def _inside(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -457,8 +579,9 @@ def _inside(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, least: int) -> DataFrame:
-    """``docs`` with all its columns; repeated strings are cut out of text, at whole characters. A null text stays."""
+def without_repeats(docs: DataFrame, least: int, words: int = 0) -> DataFrame:
+    """``docs`` with all its columns; runs of repeated strings of more than ``words`` words are cut out of text, at
+    whole characters. A null text stays."""
     names = docs.columns
     place = names.index("text")
 
@@ -466,7 +589,7 @@ def without_repeats(docs: DataFrame, least: int) -> DataFrame:
         column = batch.column(place)
         texts = []
         for raw, null, flat in zip(raw_texts(column), pc.is_null(column).to_pylist(), batch.column(len(names)).to_pylist()):
-            spans = _inside(raw, _spans_of(raw, flat))
+            spans = _inside(raw, _long_runs(raw, _spans_of(raw, flat), words))
             texts.append(None if null else (_cut(raw, spans) if spans else raw).decode())
         columns = list(batch.columns[:-1])
         columns[place] = pa.array(texts, column.type)
