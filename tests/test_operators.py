@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import accounting, hashing
 from tidelog.operators import checks, lww, merge, read
-from tidelog.schema import DELETE, OPS, SET, canonical
+from tidelog.schema import DELETE, OPS, SET, CorruptTable, canonical
 from tidelog.sources import interop
 
 
@@ -107,14 +107,58 @@ def test_frames_and_binary_logs(spark, tmp_path):
         assert interop.read_log(spark, str(tmp_path / name)).count() == n, name
 
 
+def test_segments_of_a_log_have_one_order(spark, tmp_path):
+    frame = lambda ops: b"".join(bytes(r["f"]) for r in ops_of(spark, ops).orderBy("seq").select(hashing.framed().alias("f")).collect())
+    first = frame([(0, 0, SET, b"a", b"1"), (1, 0, SET, b"b", b"1")])
+    second = frame([(2, 0, DELETE, b"a", None), (3, 0, SET, b"b", b"2")])
+    third = frame([(4, 0, SET, b"c", b"3")])
+    for name, raw in (("log-1", first), ("log-2", second), ("log-3", third)):
+        (tmp_path / name).write_bytes(raw)
+    read_all = lambda: sorted(pairs(lww.visible(interop.read_log(spark, str(tmp_path)))))
+    assert read_all() == [(b"b", b"2"), (b"c", b"3")]
+    (tmp_path / "log-2").write_bytes(second[:-1])  # the log ends there: neither b's second value nor c
+    assert read_all() == [(b"b", b"1")]
+    (tmp_path / "log-1").write_bytes(b"")
+    assert read_all() == []
+    interop.write_log(ops_of(spark, [(0, 0, SET, b"a", b"1"), (1, 0, SET, b"b", b"1")]), str(tmp_path / "own"))
+    assert (tmp_path / "own").read_bytes() == first
+
+
 def test_snapshot_text(spark, tmp_path):
     want = [(b"", b"x"), (b"\t\n", b""), (b"k", b"\xff" * 100_000)]
     view = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in want], "key binary, value binary")
-    interop.write_snapshot(view, str(tmp_path / "s"))
-    assert sorted(pairs(interop.read_snapshot(spark, str(tmp_path / "s")))) == want
-    (tmp_path / "bad").write_text("SNAPSHOT v2\n61\tzz\nCHECKSUM 1\n")
-    with pytest.raises(Exception, match="damaged"):
-        interop.read_snapshot(spark, str(tmp_path / "bad")).collect()
+    whole = tmp_path / "s"
+    interop.write_snapshot(view, str(whole))
+    assert sorted(pairs(interop.read_snapshot(spark, str(whole)))) == want
+    interop.write_snapshot(view.where("false"), str(tmp_path / "none"))
+    assert pairs(interop.read_snapshot(spark, str(tmp_path / "none"))) == []
+
+    def fails(path, why):
+        with pytest.raises(CorruptTable, match=why):
+            interop.read_snapshot(spark, str(path)).collect()
+
+    part = next(p for p in sorted(whole.glob("part-*")) if p.stat().st_size > 10)
+    body, crc = part.read_bytes(), part.with_name(f".{part.name}.crc")
+    crc.unlink(missing_ok=True)
+    part.write_bytes(body[: len(body) // 2])
+    fails(whole, "checksum")
+    part.write_bytes(body.replace(b"6b\tff", b"6b\tfe") if b"6b\tff" in body else b"00" + body)
+    fails(whole, "checksum")
+    (whole / "_SNAPSHOT").unlink()
+    fails(whole, "unfinished")
+
+    one = tmp_path / "one"
+    interop.export_snapshot(view, str(one))
+    raw = one.read_bytes()
+    assert raw == b"".join([b"SNAPSHOT v2\n", *(k.hex().encode() + b"\t" + v.hex().encode() + b"\n" for k, v in want)]) + raw[raw.rindex(b"CHECKSUM") :]
+    assert int(raw[raw.rindex(b" ") :]) == zlib.crc32(raw[: raw.rindex(b"CHECKSUM")])
+    assert sorted(pairs(interop.read_snapshot(spark, str(one)))) == want
+    for name, bad, why in (
+        ("cut", raw[: raw.rindex(b"CHECKSUM")], "truncated"), ("half", raw[: len(raw) // 2], "truncated"), ("empty", b"", "header"),
+        ("altered", raw.replace(b"ffff", b"fffe", 1), "checksum"), ("other", raw.replace(b"v2", b"v9"), "header"),
+    ):
+        (tmp_path / name).write_bytes(bad)
+        fails(tmp_path / name, why)
 
 
 def fnv(b):

@@ -6,7 +6,7 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import KeyNotFound, StoreError
@@ -26,10 +26,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def sequential_keys(spark: SparkSession, n: int) -> DataFrame:
+    """(key) key000000000 and up."""
+    return spark.range(n).select(F.format_string("key%09d", "id").cast("binary").alias("key"))
+
+
+def random_keys(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """(key) of 16 bytes, the same for a seed at any number of partitions: they are a hash of the seed and the place."""
+    return spark.range(n).select(F.unhex(F.md5(F.concat_ws(":", F.lit(seed), "id"))).alias("key"))
+
+
 def bench(spark: SparkSession, table: Table, ops: int) -> dict[str, float]:
-    """Operations a second: one batch of writes, a join of as many random keys, and a reopening with a count."""
-    key = F.format_string("key%09d", "id")
-    pairs = spark.range(ops).select(key.alias("key"), key.alias("value"))
+    """Operations a second: batches of sequential and of random keys, a join of as many random keys of either kind, and
+    a reopening with a count."""
     out = {}
 
     def timed(name, work):
@@ -37,15 +46,23 @@ def bench(spark: SparkSession, table: Table, ops: int) -> dict[str, float]:
         work()
         out[name] = ops / (time.perf_counter() - began)
 
-    timed("write", lambda: table.set_batch(pairs))
-    asked = spark.range(ops).select(F.floor(F.rand(42) * ops).cast("long").alias("id")).select(key.cast("binary").alias("key"))
-    timed("read", lambda: table.multi_get(asked).write.format("noop").mode("overwrite").save())
+    value = F.lit("benchmark-value-data")
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
+    timed("write sequential", lambda: table.set_batch(sequential_keys(spark, ops).withColumn("value", value)))
+    timed("write random", lambda: table.set_batch(random_keys(spark, ops).withColumn("value", value)))
+    place = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(ops))
+    asked = spark.range(ops).select(F.format_string("key%09d", place).cast("binary").alias("key"))
+    timed("read sequential", lambda: noop(table.multi_get(asked)))
+    timed("read random", lambda: noop(table.multi_get(random_keys(spark, ops))))
     timed("reopen", lambda: Table(spark, table.path, table.mode).count())
     return out
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    try:
+        args = parser().parse_args(argv)
+    except SystemExit as e:  # usage was printed
+        return 1 if e.code else 0
     spark = spark or SparkSession.builder.appName("tidelog").getOrCreate()
     try:
         with Table(spark, args.dir, args.mode) as table:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import DELETE, SET
+from ..schema import DELETE, SET, key_lit
 
 
 def report(ops: DataFrame) -> DataFrame:
@@ -25,8 +25,6 @@ def report(ops: DataFrame) -> DataFrame:
 
 def run_report(run: DataFrame, lower: bytes | None, upper: bytes | None, rows: int) -> DataFrame:
     """(check_name, violations) for one run: a version for each key, bounds and row count as recorded."""
-    from ..schema import key_lit
-
     found = run.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("key").alias("keys"),
@@ -37,3 +35,15 @@ def run_report(run: DataFrame, lower: bytes | None, upper: bytes | None, rows: i
     return found.select(
         F.explode(F.array(*(F.struct(F.lit(k).alias("check_name"), v.cast("long").alias("violations")) for k, v in checks.items()))).alias("x")
     ).select("x.*")
+
+
+def file_report(spark: SparkSession, path: str, disjoint: bool) -> DataFrame:
+    """(check_name, violations) over the files of one run: keys that don't rise inside their file and, if files are
+    to be ``disjoint``, files that begin before another's end. A window holds one file's keys, or one row a file."""
+    place = Window.partitionBy("file").orderBy("at")
+    rows = spark.read.parquet(path).select("key", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    fallen = rows.withColumn("_before", F.lag("key").over(place)).where(F.col("_before") >= F.col("key"))
+    bounds = rows.groupBy("file").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    met = bounds.withColumn("_before", F.lag("hi").over(Window.orderBy("lo"))).where((F.col("_before") >= F.col("lo")) & F.lit(disjoint))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+    return count(fallen, "unsorted_keys").unionByName(count(met, "overlapping_files"))

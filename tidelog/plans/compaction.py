@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from .manifest import Run
 
-#: Runs at a level from which on they are merged into the next.
-FANOUT = {0: 4, 1: 4}
+#: Runs at a level from which on they are merged into the next; those of the bottom become one of the bottom.
+FANOUT = {0: 4, 1: 4, 2: 4}
 BOTTOM = 2
 
 
+def below(level: int) -> int:
+    """The level that a merge of ``level`` goes to."""
+    return min(level + 1, BOTTOM)
+
+
 def due(runs: list[Run]) -> int | None:
     """The lowest level with enough runs, none if no merge is due."""
     for level, most in FANOUT.items():

@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
@@ -111,6 +112,32 @@ class Folder:
         finally:
             stream.close()
 
+    def chunks(self, name: str = "", size: int = 4 << 20) -> Iterator[bytes]:
+        """A file's bytes, a bounded piece at a time."""
+        stream = self.fs.open(self.path(name))
+        try:
+            while piece := bytes(stream.readNBytes(size)):
+                yield piece
+        finally:
+            stream.close()
+
+    def stream(self, pieces: Iterable[bytes]) -> None:
+        """Write the file that this folder's path names, from pieces. It has a temporary name until it is durable."""
+        part = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}.{uuid.uuid4().hex}.tmp")
+        out = self.fs.create(part, False)
+        held = bytearray()
+        for piece in pieces:
+            held += piece
+            if len(held) >= 1 << 20:
+                out.write(held)
+                held = bytearray()
+        out.write(held)
+        out.hsync()
+        out.close()
+        if not self.fs.rename(part, self.path("")):
+            self.fs.delete(part, False)
+            raise CommitConflict(f"{self.root} is taken")
+
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self.path(name)).getLength()
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.manifest import Folder
 from ..schema import DELETE, SET, CorruptTable
 
 HEADER = "SNAPSHOT v2"
+#: The file of a snapshot folder that says it is whole; Spark's readers pass over names that begin so.
+SEAL = "_SNAPSHOT"
+#: Records of a log that travel together; and bits of a sequence number for the offset in its segment.
+TOGETHER, OFFSET_BITS = 1 << 16, 40
 
 
 def parse_log(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
     """(offset, op, key, value) of the longest intact prefix: it ends at a short header or payload, a wrong
     checksum or lengths that don't add up. An operation of unknown type is an error."""
     at = 0
+    raw = memoryview(raw)
     while at + 8 <= len(raw):
         size, crc = struct.unpack_from(">II", raw, at)
         body = raw[at + 8 : at + 8 + size]
@@ -29,33 +37,72 @@ def parse_log(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
             return
         if op not in (SET, DELETE):
             raise CorruptTable(f"unknown operation {op} at byte {at}")
-        yield at, op, body[9 : 9 + klen], body[9 + klen :] if op == SET else None
+        yield at, op, bytes(body[9 : 9 + klen]), bytes(body[9 + klen :]) if op == SET else None
         at += 8 + size
 
 
+def segments(spark: SparkSession, path: str) -> list[str]:
+    """The files of a log in order: one file, or a folder's by name."""
+    folder = Folder(spark, path)
+    if folder.fs.getFileStatus(folder.path("")).isFile():
+        return [folder.root]
+    return [f"{folder.root}/{n}" for n in sorted(n for n, _ in folder.names() if not n.startswith(("_", ".")))]
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Operations (seq = byte offset, ord = 0) of one binary log file.
+    """Operations (ord = 0) of a binary log: a file, or a folder of segments in the order of their names.
 
-    Records have no marks to split at, so one task reads one file, as Spark's binaryFile source hands it out.
+    seq is the segment's place and the byte offset in it, so operations of several segments have one order. The log
+    ends at the first damaged record, wherever it is: segments after it are left out, as a replay would.
+    Records have no marks to split at, so one task reads one segment, as Spark's binaryFile source hands it out.
     """
+    files = segments(spark, path)
+    place = {f.rpartition("/")[2]: i for i, f in enumerate(files)}
+    schema = "seq long, ord int, op tinyint, key binary, value binary"
+    if not files:
+        return spark.createDataFrame([], schema)
+    content = lambda names: spark.read.format("binaryFile").load(names).select("path", "content")
+
+    def damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw, end = raw.as_py(), 0
+                for at, _, key, value in parse_log(raw):
+                    end = at + 17 + len(key) + len(value or b"")
+                if end < len(raw):
+                    yield pa.record_batch([pa.array([place[name.rpartition("/")[2]]], pa.int32())], ["place"])
+
+    if len(files) > 1:
+        cut = content(files).mapInArrow(damage, "place int").agg(F.min("place").alias("cut")).first()["cut"]
+        files = files if cut is None else files[: cut + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0):
-                rows = list(parse_log(raw.as_py()))
-                yield pa.record_batch(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([0] * len(rows), pa.int32()),
-                        pa.array([r[1] for r in rows], pa.int8()),
-                        pa.array([r[2] for r in rows], pa.binary()),
-                        pa.array([r[3] for r in rows], pa.binary()),
-                    ],
-                    ["seq", "ord", "op", "key", "value"],
-                )
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "seq long, ord int, op tinyint, key binary, value binary")
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                first = place[name.rpartition("/")[2]] << OFFSET_BITS
+                records = parse_log(raw.as_py())
+                while rows := list(islice(records, TOGETHER)):
+                    yield pa.record_batch(
+                        [
+                            pa.array([first + r[0] for r in rows], pa.int64()),
+                            pa.array([0] * len(rows), pa.int32()),
+                            pa.array([r[1] for r in rows], pa.int8()),
+                            pa.array([r[2] for r in rows], pa.binary()),
+                            pa.array([r[3] for r in rows], pa.binary()),
+                        ],
+                        ["seq", "ord", "op", "key", "value"],
+                    )
+
+    return content(files).mapInArrow(run, schema)
+
+
+def write_log(ops: DataFrame, path: str) -> None:
+    """One segment of framed records, in order of (seq, ord), as a new file. The records are framed by Spark and come
+    one partition at a time; a file of one stream has one writer."""
+    from ..functions.hashing import framed
+
+    folder = Folder(ops.sparkSession, path)
+    folder.stream((bytes(r["frame"]) for r in ops.orderBy("seq", "ord").select(framed().alias("frame")).toLocalIterator()))
 
 
 def hex_lines(view: DataFrame) -> DataFrame:
@@ -63,17 +110,85 @@ def hex_lines(view: DataFrame) -> DataFrame:
     return view.select(F.concat_ws("\t", F.lower(F.hex("key")), F.lower(F.hex("value"))).alias("line"))
 
 
+def _sums(lines: DataFrame, column: str) -> dict[str, int]:
+    """How many lines, and the sum of their checksums, which is the same in any order of files."""
+    s = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.crc32(column).cast("decimal(38,0)")), F.lit(0)).alias("crc")).first()
+    return {"lines": s["n"], "checksum": int(s["crc"])}
+
+
 def write_snapshot(view: DataFrame, path: str) -> None:
-    """A folder of text files in key order: lines of pairs of any length. The checksum of a whole, which a line
-    of text cannot hold in a distributed write, is kept by Parquet runs instead."""
+    """A folder of text files in key order: lines of pairs of any length. A seal with their number and checksum is put
+    there last, so an unfinished, truncated or altered snapshot is told from a whole one."""
     hex_lines(view.orderBy("key")).write.text(path)
+    written = _sums(view.sparkSession.read.text(path), "value")
+    Folder(view.sparkSession, path).put_if_absent(SEAL, json.dumps({"format": HEADER} | written).encode())
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) from lines of hex; header and checksum lines of a single-file snapshot are skipped. A line
-    that is neither fails the query, so a damaged base is never taken for a smaller one."""
-    lines = spark.read.text(path).where(~F.col("value").startswith(HEADER) & ~F.col("value").startswith("CHECKSUM "))
+def export_snapshot(view: DataFrame, path: str) -> None:
+    """The same as one file: a header, the lines in key order, and the CRC-32 of all before it. It takes its name when it
+    is whole. Lines come one partition at a time, as a file of one stream has one writer."""
+
+    def lines() -> Iterator[bytes]:
+        crc = 0
+        for raw in [f"{HEADER}\n".encode()]:
+            crc = zlib.crc32(raw)
+            yield raw
+        for row in hex_lines(view.orderBy("key")).toLocalIterator():
+            raw = f"{row['line']}\n".encode()
+            crc = zlib.crc32(raw, crc)
+            yield raw
+        yield f"CHECKSUM {crc}\n".encode()
+
+    Folder(view.sparkSession, path).stream(lines())
+
+
+def _pairs(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t")
     good = F.col("value").rlike(r"^([0-9a-fA-F]{2})*\t([0-9a-fA-F]{2})*$")
     line = F.when(good, parts).otherwise(F.raise_error(F.lit("a snapshot line is damaged")).cast("array<string>"))
     return lines.select(F.unhex(line[0]).alias("key"), F.unhex(line[1]).alias("value"))
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a snapshot folder or of a snapshot in one file. One that has no seal or header, or whose lines
+    are not those it was sealed with, is CorruptTable here; a damaged base is never taken for a smaller one."""
+    folder = Folder(spark, path)
+    if folder.fs.getFileStatus(folder.path("")).isFile():
+        return _read_file(spark, folder)
+    if not folder.fs.exists(folder.path(SEAL)):
+        raise CorruptTable("the snapshot has no seal: it is unfinished")
+    try:
+        seal = json.loads(folder.read(SEAL))
+        wanted = {k: seal[k] for k in ("lines", "checksum")}
+    except (ValueError, KeyError, TypeError) as e:
+        raise CorruptTable("the snapshot's seal is damaged") from e
+    if seal.get("format") != HEADER:
+        raise CorruptTable("not a snapshot")
+    lines = spark.read.text(path)
+    if _sums(lines, "value") != wanted:
+        raise CorruptTable("the snapshot's checksum does not hold")
+    return _pairs(lines)
+
+
+def _read_file(spark: SparkSession, folder: Folder) -> DataFrame:
+    """The checksum runs over the bytes in order, so it is taken in one stream; the pairs are then read by Spark."""
+    crc, end, first, last = 0, b"", None, b""
+    for chunk in folder.chunks():
+        end += chunk
+        *whole, end = end.split(b"\n")
+        for line in whole:
+            if first is None:
+                first = line
+                crc = zlib.crc32(line + b"\n")
+                continue
+            if last:
+                crc = zlib.crc32(last, crc)
+            last = line + b"\n"
+    if first != HEADER.encode():
+        raise CorruptTable("invalid snapshot header")
+    if end or not last.startswith(b"CHECKSUM ") or not last[9:-1].isdigit():
+        raise CorruptTable("the snapshot has no checksum: it is truncated")
+    if int(last[9:]) != crc:
+        raise CorruptTable("the snapshot's checksum does not hold")
+    lines = spark.read.text(folder.root)
+    return _pairs(lines.where(~F.col("value").startswith(HEADER) & ~F.col("value").startswith("CHECKSUM ")))

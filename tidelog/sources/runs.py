@@ -1,56 +1,58 @@
-"""Sorted runs: Parquet dealt by key range, sorted within files, with bloom filters on the key."""
+"""Sorted runs: Parquet sorted by key within files, with bloom filters on the key."""
 
 from __future__ import annotations
 
-from dataclasses import replace
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.manifest import Folder, Run
 from ..schema import COLUMNS, DELETE, OPS
 
-#: Rows of a file, and of a page, which is the grain of skipping inside a file.
-FILE_ROWS, PAGE_ROWS = 4_000_000, 4096
+#: Rows and bytes of a file, and rows of a page, which is the grain of skipping inside a file.
+FILE_ROWS, FILE_BYTES, PAGE_ROWS = 1_000_000, 128 << 20, 4096
+#: Keys that a bloom filter is made for at most; it is made smaller if fewer come.
+BLOOM_KEYS = 4_000_000
 
 
-def write(df: DataFrame, folder: Folder, name: str, level: int, rows: int | None = None, keys: int | None = None) -> Run | None:
-    """Write a run of one version for each key. Its statistics are one aggregate over the files written.
+def parts_for(rows: int, size: int) -> int:
+    """Files for about so many rows and bytes."""
+    return max(1, ceil(rows / FILE_ROWS), ceil(size / FILE_BYTES))
 
-    ``rows``: about how many, if known; a run of few rows is one file, without a shuffle by range. None comes
-    back if nothing was written.
+
+def by_range(ops: DataFrame, parts: int) -> DataFrame:
+    """Operations dealt by key range. An aggregate by key after it needs no other shuffle, and leaves them sorted."""
+    return ops.repartitionByRange(parts, "key")
+
+
+def write(df: DataFrame, folder: Folder, name: str, level: int) -> Run | None:
+    """Write a run of one version for each key, in as many files as ``df`` has partitions.
+
+    Its statistics are taken of the rows on their way to the files; nothing is read again. None comes back if
+    nothing was written.
     """
-    parts = max(1, ceil((rows or 0) / FILE_ROWS)) if rows is not None else None
-    if parts == 1:
-        dealt = df.coalesce(1).sortWithinPartitions("key")
-    else:
-        dealt = (df.repartitionByRange("key") if parts is None else df.repartitionByRange(parts, "key")).sortWithinPartitions("key")
+    seen = Observation()
+    observed = df.select(*COLUMNS).sortWithinPartitions("key").observe(
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("op") == DELETE).alias("dead"),
+        *(f(c).alias(f"{f.__name__}_{c}") for c in ("seq", "key") for f in (F.min, F.max)),
+    )
     (
-        dealt.select(*COLUMNS)
-        .write.option("parquet.bloom.filter.enabled#key", "true")
-        .option("parquet.bloom.filter.expected.ndv#key", str(max(1000, min(keys or rows or FILE_ROWS, FILE_ROWS))))
+        observed.write.option("parquet.bloom.filter.enabled#key", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS))
         .option("parquet.page.row.count.limit", str(PAGE_ROWS))
         .option("parquet.page.write-checksum.enabled", "true")
-        .option("maxRecordsPerFile", str(FILE_ROWS))
         .parquet(f"{folder.root}/{name}")
     )
-    return described(df.sparkSession, folder, Run(name, level, 0, 0, None, None, 0, 0, 0))
-
-
-def described(spark: SparkSession, folder: Folder, run: Run) -> Run | None:
-    """``run`` with the statistics of what is on disk."""
-    s = read(spark, folder, [run]).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("op") == DELETE).alias("dead"),
-        *(f(c).alias(f"{f.__name__}_{c}") for c in ("seq", "key") for f in (F.min, F.max)),
-    ).first()
+    s = seen.get
     if not s["n"]:
-        folder.delete(run.path)
+        folder.delete(name)
         return None
-    return replace(
-        run, rows=s["n"], tombstones=s["dead"], min_seq=s["min_seq"], max_seq=s["max_seq"],
-        min_key=bytes(s["min_key"]), max_key=bytes(s["max_key"]), bytes=folder.size(run.path),
+    return Run(
+        name, level, s["min_seq"], s["max_seq"], bytes(s["min_key"]), bytes(s["max_key"]), s["n"], s["dead"], folder.size(name)
     )
 
 

@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.accounting import amplification, written
+from .functions.accounting import amplification, spent
 from .operators import checks, lww, read
 from .operators.merge import merge
 from .plans import compaction
@@ -19,6 +19,8 @@ from .schema import DELETE, SET, KeyNotFound, StoreClosed, StoreError, as_bytes,
 from .sources import runs as run_files
 
 MODES = ("snapshot", "tiered")
+#: Asked keys that become a filter of the scan, where bloom filters meet them; and bytes of those that are broadcast.
+IN_KEYS, ASKED_BYTES = 10, 32 << 20
 
 
 def _open_only(method):
@@ -105,21 +107,22 @@ class Table:
             return
         if "ord" not in ops.columns:
             ops = ops.withColumn("ord", F.lit(0))
-        ops = canonical(ops.withColumn("seq", F.lit(base.next_seq)))
-        spent = written(ops).first()
-        last = lww.latest(ops)
-        run = run_files.write(last, self.folder, self._name(), 0, rows=spent["n_ops"])
-        streams = base.streams | ({stream[0]: stream[1]} if stream else {})
+        seen = Observation()
+        # the caller's rows are computed once: counted on their way to the shuffle by key, which AQE sizes by bytes
+        ops = canonical(ops.withColumn("seq", F.lit(base.next_seq))).observe(seen, *spent())
+        run = run_files.write(lww.latest(ops), self.folder, self._name(), 0)
         if run is None and not stream:
             return  # an empty batch is no commit
+        cost = seen.get
+        streams = base.streams | ({stream[0]: stream[1]} if stream else {})
         self._publish(
             replace(
                 base,
                 version=base.version + 1,
                 next_seq=base.next_seq + 1,
                 runs=base.runs + ((run,) if run else ()),
-                logical=base.logical + spent["logical_bytes"],
-                log=base.log + spent["log_bytes"],
+                logical=base.logical + cost["logical_bytes"],
+                log=base.log + cost["log_bytes"],
                 flush=base.flush + (run.bytes if run else 0),
                 streams=streams,
             ),
@@ -156,15 +159,16 @@ class Table:
 
     def _settle(self) -> None:
         while (level := compaction.due(list(self.runs))) is not None:
-            self._merge([r for r in self.runs if r.level == level], level + 1)
+            self._merge([r for r in self.runs if r.level == level], compaction.below(level))
 
     def _merge(self, inputs: list[Run], level: int) -> None:
         if not inputs:
             return
         base = self._manifest
         go = compaction.tombstones_may_go(inputs, list(base.runs))
-        merged = merge([run_files.read(self.spark, self.folder, inputs)], go)
-        run = run_files.write(merged, self.folder, self._name(), level, rows=sum(r.rows for r in inputs))
+        parts = run_files.parts_for(sum(r.rows for r in inputs), sum(r.bytes for r in inputs))
+        dealt = run_files.by_range(run_files.read(self.spark, self.folder, inputs), parts)
+        run = run_files.write(merge([dealt], go), self.folder, self._name(), level)
         paths = {r.path for r in inputs}
         self._publish(
             replace(
@@ -222,7 +226,24 @@ class Table:
 
     @_open_only
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return read.multi_get(self.view(), keys)
+        """(key, value, found) for every row of ``keys``.
+
+        The keys are measured first. Runs and row groups outside their range are not read; and if they are few, or
+        ASKED_BYTES at most, they are sent to the scan, so that only their versions are shuffled.
+        """
+        asked = keys.select("key").distinct()
+        size = asked.agg(
+            F.count("key").alias("n"), F.sum(F.octet_length("key")).alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi")
+        ).first()
+        if not size["n"]:
+            return read.multi_get(self.view().limit(0), keys)
+        lo, hi = as_bytes(size["lo"]), as_bytes(size["hi"])
+        ops = self._ops(compaction.prune(list(self.runs), lo, hi + b"\0")).where(F.col("key").between(read.key_lit(lo), read.key_lit(hi)))
+        if size["n"] <= IN_KEYS:
+            ops = ops.where(F.col("key").isin([bytearray(r["key"]) for r in asked.where("key is not null").collect()]))
+        elif size["bytes"] + 16 * size["n"] <= ASKED_BYTES:
+            ops = ops.join(F.broadcast(asked), "key", "left_semi")
+        return read.multi_get(lww.visible(ops), keys)
 
     @_open_only
     def count(self) -> int:
@@ -255,4 +276,6 @@ class Table:
         for run in self.runs:
             for r in checks.run_report(run_files.read(self.spark, self.folder, [run]), run.min_key, run.max_key, run.rows).collect():
                 found[r["check_name"]] = found.get(r["check_name"], 0) + r["violations"]
+            for r in checks.file_report(self.spark, f"{self.folder.root}/{run.path}", run.level > 0).collect():
+                found[r["check_name"]] = found.get(r["check_name"], 0) + r["violations"]
         return found
