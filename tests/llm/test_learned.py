@@ -5,7 +5,8 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidelog.llm import cnn_quality, langid, queries
+
+from tidelog.llm import cnn_quality, common, langid, queries
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -28,6 +29,41 @@ def test_language_of_odd_rows(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_decoding_equals_one_by_hand():
+    """Sequences counted, codewords compared and the nearest chosen in plain loops."""
+    rng = np.random.default_rng(5)
+    train = [b"the thing of the east and the west", b"der die das und nicht ist", b"le la les et pour dans", b"el los las que por con", b"il lo gli che per con", b"de het een van en niet"]
+    model = langid.fit(train, list("abcdef"))
+    texts = [*train, b"", b"x", b"Das ist 12 der\tWest", bytes(rng.integers(97, 110, 400).tolist())]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    best, share, unclear = model.decode(model.margins(data, bounds))
+    for i, t in enumerate(texts):
+        plain = bytes(32 if c in b"\t\n\x0b\x0c\r" else 48 if 48 <= c < 58 else c for c in t.lower())
+        total = [0.0] * model.code.shape[1]
+        for n in (2, 3):
+            for at in range(len(plain) - n + 1):
+                code = int.from_bytes(plain[at : at + n], "little") + (n << 24)
+                bucket = (code * 2654435761 & 0xFFFFFFFF) >> 18
+                total = [x + float(w) for x, w in zip(total, model.weights[bucket])]
+        margin = [x / max(len(t), 1) + float(b) for x, b in zip(total, model.bias)]
+        loss = [sum(float(w) * max(0, 1 - m * float(c)) ** 2 for m, c, w in zip(margin, word, model.trust)) for word in model.code]
+        order = sorted(range(len(loss)), key=lambda k: loss[k])
+        assert loss[best[i]] == pytest.approx(loss[order[0]], abs=1e-4)
+        assert share[i] == pytest.approx(1 / sum(np.exp(-2 * (x - loss[order[0]])) for x in loss), abs=1e-3)
+        if abs(loss[order[1]] - 1.1 * loss[order[0]]) > 1e-3:
+            assert unclear[i] == (loss[order[1]] <= 1.1 * loss[order[0]])
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """Equal rows and null ids all share a hash; still no more than the bound comes."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"))
+    assert common.sampled_rows(rows, "lang", 100).count() <= 150
+    mixed = rows.unionByName(spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("de").alias("lang")))
+    got = {r["lang"]: r["count"] for r in common.sampled_rows(mixed, "lang", 100).groupBy("lang").count().collect()}
+    assert sum(got.values()) <= 300 and 60 < got["de"] < 140
+    assert len(langid.sample(rows)[0]) <= 1.5 * langid.SAMPLE_EACH
+
+
 def test_code_matrix():
     for n in (2, 3, 4, 5, 9, 20):
         code = langid.code_matrix(n)
@@ -80,6 +116,28 @@ def test_parts_of_a_long_text_score_as_a_whole(monkeypatch):
     assert np.allclose(cnn_quality.score(net, data, bounds), whole, atol=1e-5)
 
 
+def test_scores_equal_a_forward_pass_by_hand():
+    """Every filter at every place of every chunk, in plain loops."""
+    net = cnn_quality.Network.fresh()
+    half, width, stride = cnn_quality.HALF, cnn_quality.WIDTH, cnn_quality.STRIDE
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(32, 120, n).tolist()) for n in (0, 5, 300, 515, 800)]
+    got = cnn_quality.score(net, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for t, value in zip(texts, got):
+        rows = max(2, -(-len(t) // half))
+        padded = list(t) + [0] * (rows * half - len(t) + width)
+        peaks = []
+        for r in range(rows):
+            best = np.full(cnn_quality.FILTERS, -np.inf)
+            for at in range(r * half, (r + 1) * half, stride):
+                seen = np.concatenate([net.embed[c] for c in padded[at : at + width]]).astype(np.float64)
+                best = np.maximum(best, seen @ net.filters)
+            peaks.append(best)
+        chunks = [np.maximum(0, np.maximum(a, b) + net.shift) for a, b in zip(peaks, peaks[1:])]
+        z = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)]) @ net.out + net.bias[0]
+        assert value == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     net = cnn_quality.Network(*(x.astype(np.float64) for x in vars(cnn_quality.Network.fresh()).values()))

@@ -168,10 +168,13 @@ def test_large_clusters_keep_their_links(spark):
 
 def test_pigeonhole_masks_miss_nothing():
     rng = np.random.default_rng(2)
-    masks = simhash.pigeonhole_masks(3)
-    for _ in range(2000):
-        flips = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
-        assert any(not flips & m for m in masks)
+    assert [simhash.free_blocks(n) for n in (0, 1 << 24, 1 << 25, 1 << 31)] == [2, 2, 3, 4]
+    for free in (2, 3, 4):
+        masks = simhash.pigeonhole_masks(3, free)
+        assert min(m.bit_count() for m in masks) >= (24, 30, 36)[free - 2]
+        for _ in range(2000):
+            flips = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+            assert any(not flips & m for m in masks)
 
 
 # -- suffix arrays
@@ -255,34 +258,80 @@ def test_leaks(spark, docs, empty, listed):
     assert decontam.find_leaks(docs, bench.where("false")).count() == 0
 
 
-def test_block_bounds_prune_nothing_over_the_threshold():
+def search(index, own, least):
+    """All blocks that may hold an item, each by its cursors."""
+    blocks = decontam.live_blocks(index, np.zeros(len(own), np.int64), own, least)
+    return [x for _, entries in blocks for x in decontam.wand(index, entries, least)]
+
+
+@pytest.mark.parametrize("group", [1, 2, 8, 100])
+def test_wand_finds_all_that_brute_force_bm25_does(monkeypatch, group):
     import random
+    from math import log
 
     from .conftest import prose
 
+    monkeypatch.setattr(decontam, "GROUP", group)
+    monkeypatch.setattr(decontam, "BOUNDS", 50)
     rng = random.Random(9)
     items = [(i, prose(rng, rng.randint(8, 40))) for i in range(60)]
-    df = Counter(w for _, t in items for w in set(decontam.words_of(t)))
+    split = {i: decontam.words_of(t) for i, t in items}
+    df = Counter(w for own in split.values() for w in set(own))
     index = decontam.build(items, df, 60, 24.0)
+
+    def weights(own):
+        n, long = Counter(own), 1.2 * (0.25 + 0.75 * len(own) / 24.0)
+        w = {x: log(1 + (60 - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + long) for x, c in n.items()}
+        return {x: v / sum(w.values()) for x, v in w.items()}
+
+    weight = {i: weights(own) for i, own in split.items()}
     texts = [prose(rng, 100) + " " + " ".join(t.split()[: rng.randint(5, 40)]) + " " + prose(rng, 70) for _, t in items]
-    weights = {}
-    for postings in index.postings:
-        for t, entries in postings.items():
-            for k, w in entries:
-                weights[k, t] = w
-    for text in texts:
+    hits = 0
+    for least in (0.6, 0.3, 0.05):
+        for text in texts:
+            own = {w for w in decontam.words_of(text) if w in index.terms}
+            got = {index.ids[k]: v for k, v in search(index, np.array(sorted(index.terms[w] for w in own), np.int64), least)}
+            for i in weight:
+                v = sum(x for w, x in weight[i].items() if w in own)
+                hits += v >= least
+                if v >= least + 1e-6:
+                    assert got[i] == pytest.approx(v)
+                elif v < least - 1e-6:
+                    assert i not in got
+    assert hits > 500
+    for text in texts:  # and the passages that no pivot can be in are those without any item
         codes = np.array([index.terms.get(w, -1) for w in decontam.words_of(text)] + [-1])
         starts = np.arange(0, len(codes) - 1, index.longest)
         ends = np.minimum(starts + index.longest, len(codes) - 1)
-        got = {(s, k): v for s, _, k, v in decontam.retrieve(index, codes, starts, ends)}
+        got = {(s, k) for s, _, k, _ in decontam.retrieve(index, codes, starts, ends)}
         for s in starts.tolist():
-            own = {c for c in codes[s : s + 2 * index.longest].tolist() if c >= 0}
-            for k in range(60):
-                v = sum(weights.get((k, t), 0) for t in own)
-                if v >= decontam.RETRIEVE + 1e-6:
-                    assert got[s, k] == pytest.approx(v)
-                elif v < decontam.RETRIEVE - 1e-6:
-                    assert (s, k) not in got
+            own = np.array(sorted({c for c in codes[s : s + 2 * index.longest].tolist() if c >= 0}), np.int64)
+            assert {k for x, k in got if x == s} == {k for k, _ in search(index, own, decontam.RETRIEVE)}
+
+
+def test_altered_items_are_found_and_others_are_not(spark):
+    """Recall on items with a share of their words changed, inside other text."""
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(20, 60)) + ". " + prose(rng, rng.randint(4, 8)) + ".") for i in range(80)]
+    bench = spark.createDataFrame([*items, (None, items[0][1]), (-1, items[1][1])], "item_id long, text string")
+    for share, least in ((0.0, 1.0), (0.05, 0.95), (0.1, 0.8), (0.2, 0.3)):
+        given = []
+        for i, t in items:
+            words = t.split()
+            for k in rng.sample(range(len(words)), round(share * len(words))):
+                words[k] = "changed" + str(rng.randrange(10**6)) + ("." if words[k].endswith(".") else "")
+            given.append((i, prose(rng, 200) + " " + " ".join(words) + " " + prose(rng, 150)))
+        given.append((999, prose(rng, 3000)))
+        found = decontam.find_leaks(spark.createDataFrame(given, "doc_id long, text string"), bench).collect()
+        pairs = {(r["doc_id"], r["item_id"]) for r in found}
+        assert {(i, k) for i, k in pairs if i != k} <= {(0, None), (1, -1)}
+        assert sum((i, i) in pairs for i, _ in items) / len(items) >= least, share
+        if not share:
+            assert {(0, None), (1, -1)} <= pairs
 
 
 # -- BPE
@@ -298,6 +347,16 @@ def test_bpe_equals_the_library(docs, listed, empty):
     assert bpe.encode_decode(empty, queries.TOKENIZER).count() == 0
 
 
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(queries.TOKENIZER, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "x.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=next(iter(change))):
+            bpe.Vocabulary(str(tmp_path / "x.json"))
+
+
 def test_transducer_and_long_words(tmp_path):
     import random
 
@@ -367,7 +426,7 @@ def test_lm(spark, docs, listed, empty, monkeypatch, small):
     import zlib
 
     if small:  # many parts and blocks, counts handed on early: the scores are the same
-        for name, value in (("PART_TEXT", 1 << 12), ("WORD_TEXT", 1 << 13), ("BLOCK_TEXT", 1 << 13), ("SLICE", 1 << 11), ("KEYS", 500), ("HELD", 50)):
+        for name, value in (("PART_TEXT", 1 << 12), ("WORD_TEXT", 1 << 13), ("BLOCK_TEXT", 1 << 13), ("SLICE", 1 << 11), ("KEYS", 500)):
             monkeypatch.setattr(pst_lm, name, value)
     train = [(t or "").encode() for i, t in listed if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     counts = Counter(w for t in train for w in t.lower().split())

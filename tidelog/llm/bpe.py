@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, bounded_batches, per_batch
+from .common import Stored, bounded_batches, frugal
 
 #: How the byte-level tokenizer cuts texts before any merge.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -37,7 +37,7 @@ LETTERS = regex.compile(r"\p{L}+")
 #: Words in the lexicon.
 LEXICON = 1 << 16
 #: Words a worker counts or remembers before it hands them on or forgets them.
-HELD = 400_000
+HELD = 200_000
 #: Characters of texts whose unseen words are looked up together.
 TOGETHER = 1 << 20
 #: Above every rank.
@@ -51,12 +51,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _must_be_plain(spec: dict) -> None:
+    """A file that asks for what is not done here would be encoded otherwise than the library does, so it is refused."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = {
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or not cut.get("use_regex", True),
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if any(odd.values()):
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(k for k, v in odd.items() if v)}")
+
+
 class Vocabulary:
-    """Ids, merges and added tokens of a tokenizer file."""
+    """Ids, merges and added tokens of a tokenizer file: byte-level BPE with the library's own cut into words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _must_be_plain(spec)
         to_byte = byte_alphabet()
         ids = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -287,7 +301,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long")
+    counted = docs.select("text").mapInArrow(frugal(run), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -345,12 +359,16 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
         f.write(build_lexicon(docs, Vocabulary(tokenizer)))
     context.addFile(path)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _opened(tokenizer, name)
-        ids = known.encode(pc.fill_null(batch.column(1), "").to_pylist())
-        back = [known.decode(x) for x in ids]
-        return pa.record_batch(
-            [batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"]
-        )
+        for batch in batches:
+            ids = known.encode(pc.fill_null(batch.column(1), "").to_pylist())
+            back = [known.decode(x) for x in ids]
+            yield pa.record_batch(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"]
+            )
+        known.clear()  # the worker may next do something else
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, decoded string")
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(frugal(run), "doc_id long, ids binary, decoded string")

@@ -171,11 +171,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
         .select(F.col("doc_id").alias("_labelled"), "quality")
     )
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = sampled_rows(known, "_labelled", "quality", SAMPLE_EACH)
+    chosen = sampled_rows(known, "quality", SAMPLE_EACH)
     rows = (
         docs.where("text is not null")
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))  # at most about 2 x SAMPLE_EACH rows
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))  # at most 3 x SAMPLE_EACH rows
         .select("doc_id", "text", "quality")
+        .orderBy(F.xxhash64("text", "doc_id"))
+        .limit(4 * SAMPLE_EACH)  # for ids that repeat
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"]))

@@ -118,17 +118,17 @@ def fit(texts: list[bytes], labels: list[str], ridge: float = 0.1) -> Model | No
     x[:, BUCKETS] = 0
     x /= np.maximum(np.diff(bounds), 1)[:, None]
     scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    xs = x * scale
-    mean = xs.mean(0)
-    xs -= mean
+    x *= scale
+    mean = x.mean(0)
+    x -= mean
     y = code[[languages.index(v) for v in labels]]
     centre = y.mean(0) if len(y) else 0
-    kernel = (xs @ xs.T).astype(np.float64)
+    kernel = (x @ x.T).astype(np.float64)
     kernel[np.diag_indices(len(texts))] += ridge * max(np.trace(kernel) / len(texts), 1e-9)
     alpha = np.linalg.solve(kernel, (y - centre).astype(np.float64))
-    w = xs.T.astype(np.float64) @ alpha
+    w = (x.T @ alpha.astype(np.float32)).astype(np.float64)
     bias = centre - mean @ w
-    wrong = ((xs @ w + centre) * y <= 0).mean(0) if code.shape[1] else np.zeros(0)
+    wrong = ((x @ w.astype(np.float32) + centre) * y <= 0).mean(0) if code.shape[1] else np.zeros(0)
     weights = (w * scale[:, None]).astype(np.float32)
     weights[BUCKETS] = 0
     return Model(languages, code, weights, bias, 1 - 2 * np.minimum(wrong, 0.45))
@@ -138,7 +138,7 @@ def sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """The bounded sample that a model learns from: rows of ``docs`` (doc_id, text, lang) with a lang."""
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = max(1, labelled.select("lang").distinct().count())
-    rows = sampled_rows(labelled, "doc_id", "lang", max(1, min(SAMPLE_EACH, SAMPLE_ALL // n))).collect()
+    rows = sampled_rows(labelled, "lang", max(1, min(SAMPLE_EACH, SAMPLE_ALL // n))).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["text"]))
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 

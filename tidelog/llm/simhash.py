@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, per_batch, raw_texts
+from .common import Stored, bounded_batches, checkpointed, dealt, frugal, pack, per_batch, planes, raw_texts, text_bytes, unpack, unplaned
+from .words import mixed, word_codes
 
 #: Members of one block compared in one task; larger blocks are cut into tiles of two such parts.
 TILE = 512
@@ -20,6 +21,8 @@ TILE = 512
 SAMPLE, COMMON = 20_000, 1 << 16
 #: Texts, and bytes of their shingle sets, in one part of a cluster of candidates.
 PART, PART_BYTES = 2048, 2 << 20
+#: Shingles that a worker holds before it hands them on; bytes of text for each part of them, and most parts.
+PAIRS, PART_TEXT, PARTS = 1 << 20, 16 << 20, 1 << 16
 #: Odd multipliers that stretch one 64-bit hash to several words of a long fingerprint.
 STRETCH = (np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -81,39 +84,22 @@ def pigeonhole_masks(distance: int, free: int = 2) -> list[int]:
     return [sum(x) for x in combinations(blocks, free)]
 
 
-def spread_masks(bits: int, tables: int, width: int) -> np.ndarray:
-    """``tables`` seeded choices of ``width`` bit positions out of ``bits``."""
-    rng = np.random.default_rng(42)
-    return np.stack([rng.permutation(bits)[:width] for _ in range(tables)])
+def free_blocks(n: int) -> int:
+    """Blocks that agree under a mask: more, and so longer masks, for more fingerprints, so that a mask tells apart at
+    least as many as there are."""
+    return next((free for free, most in ((2, 1 << 24), (3, 1 << 30)) if n <= most), 4)
 
 
-def _exact_blocks(classes: DataFrame, distance: int) -> DataFrame:
+def _exact_blocks(classes: DataFrame, distance: int, free: int = 2) -> DataFrame:
     """(node, block): one row for every pigeonhole mask, natively."""
     value = F.conv(F.hex("fp"), 16, -10).cast("long")
     keys = F.array(*(
         F.xxhash64(F.lit(i), F.col("value").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))))
-        for i, m in enumerate(pigeonhole_masks(distance))
+        for i, m in enumerate(pigeonhole_masks(distance, free))
     ))
     return classes.withColumn("value", value).select("node", F.explode(keys).alias("block"))
 
 
-def _spread_blocks(classes: DataFrame, bits: int, tables: int, width: int) -> DataFrame:
-    """(node, block): one row for every table of sampled bit positions."""
-    chosen = spread_masks(bits, tables, width)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        flat = np.unpackbits(fps, axis=1)
-        weights = np.int64(1) << np.arange(width, dtype=np.int64)
-        keys = np.empty((batch.num_rows, tables), np.int64)
-        for i in range(tables):
-            keys[:, i] = flat[:, chosen[i]].astype(np.int64) @ weights + (np.int64(i) << np.int64(width))
-        nodes = np.repeat(batch.column(0).to_numpy(), tables)
-        return pa.record_batch([pa.array(nodes), pa.array(keys.ravel())], ["node", "block"])
-
-    return per_batch(classes.select("node", "fp"), run, "node long, block long")
-
-
 def _tile_links(distance: int):
     """Compare the members of each tile; give a spanning forest of what links, not every pair."""
 
@@ -177,7 +163,7 @@ def links(classes: DataFrame, blocks: DataFrame, distance: int) -> DataFrame:
         .where(F.size("m") > 1)
         .select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
     )
-    return grouped.mapInArrow(_tile_links(distance), "u long, v long").distinct()
+    return grouped.mapInArrow(frugal(_tile_links(distance)), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,37 +196,48 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, distance: int = 3, bits: int = 64, tables: int = 0, width: int = 22
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
-    Equal fingerprints form one class, named by the fingerprint, or a 64-bit hash of a longer one. With 64 bits, classes at ``distance``
-    or less link exactly (pigeonhole masks). A longer fingerprint uses ``tables`` blocks of ``width``
-    sampled bits; use it where the distance is too large for a pigeonhole. component_id is the
-    smallest doc_id reachable over links.
+    Equal fingerprints form one class, named by the fingerprint. Classes at ``distance`` bits or less of 64 link
+    exactly (pigeonhole masks). component_id is the smallest doc_id reachable over links.
 
     Null and empty texts have a fingerprint of zeros and link like any other. Rows with a null doc_id
     take part, and classes without an id link others; only a component without any id is null.
     Repeated rows stay, one result each. Other columns of ``docs`` are not read. An empty table gives
     an empty result.
     """
-    fps = checkpointed(fingerprints(docs, shingle, bits))
-    name = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fp")
+    fps = checkpointed(fingerprints(docs, shingle))
+    name = F.conv(F.hex("fp"), 16, -10).cast("long")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", name)
-    if bits == 64:
-        blocks = _exact_blocks(classes, distance)
-    else:
-        blocks = _spread_blocks(classes, bits, tables, width)
+    blocks = _exact_blocks(classes, distance, free_blocks(fps.select("fp").distinct().count()))
     roots = components(links(classes, blocks, distance))
     rooted = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(shingle_hashes(text, size))
+#: Odd numbers by which the words of a shingle are told apart by place.
+_PLACES = np.random.default_rng(17).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes. Fewer than ``size`` words are one shingle, none
+    have none."""
+    words, first = word_codes(data, bounds)
+    runs = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        runs += words[k : k + len(runs)] * _PLACES[k]
+    runs = mixed(runs)
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        if b - a >= size:
+            out.append(np.unique(runs[a : b - size + 1]))
+        elif b > a:
+            out.append(mixed((words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -261,7 +258,7 @@ def _common(docs: DataFrame, shingle: int, n: int) -> tuple[np.ndarray, np.ndarr
     sampled = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0).distinct()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, shingle) for t in raw_texts(batch.column(0))]
+        found = shingle_sets(*text_bytes(batch.column(0)), shingle)
         return pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     counts = per_batch(sampled, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
@@ -271,38 +268,112 @@ def _common(docs: DataFrame, shingle: int, n: int) -> tuple[np.ndarray, np.ndarr
     return h[order], c[order]
 
 
-def _prefix_blocks(docs: DataFrame, shingle: int, similarity: float, n: int) -> DataFrame:
-    """(node, block): one row for every shingle of each set's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle, n))  # at most COMMON shingles
+_LISTED = "doc_id long, text_hash long, node long, fp binary, part int, keys binary, nodes binary"
+
+
+def _listed(docs: DataFrame, shingle: int, similarity: float, bits: int, parts: int, common) -> DataFrame:
+    """Two kinds of rows from one pass over (doc_id, text_hash, text): each document's node, which is the name of its
+    shingle set, with a fingerprint of the set where a task first meets it; and in packed arrays the shingles of every
+    set's prefix with its node, dealt to ``parts`` by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, often = shared.value
-        done: set[int] = set()  # copies in one task are given once
+        listed, often = common.value
+        names = ["doc_id", "text_hash", "node", "fp", "part", "keys", "nodes"]
+        done: set[int] = set()  # copies in one task are given once, as far as it remembers
+        keys, nodes, held = [], [], 0
+
+        def packed():
+            h, node = np.concatenate(keys), np.concatenate(nodes)
+            keys.clear(), nodes.clear()
+            order = np.argsort(h)
+            h, node = h[order], node[order]
+            part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16)
+            rows = [(p, pack(h[at]), planes(node[at])) for p, at in dealt(h, part)]
+            none = [None] * len(rows)
+            columns = [pa.array(none, pa.int64())] * 3 + [pa.array(none, pa.binary())]
+            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            return pa.record_batch(columns, names)
+
         for batch in batches:
-            nodes, blocks = [], []
-            for text in raw_texts(batch.column(0)):
-                own = shingle_set(text, shingle)
-                node = _name(own)
+            sets = shingle_sets(*text_bytes(batch.column(2)), shingle)
+            nodes_here = [_name(s) for s in sets]
+            prints: list[bytes | None] = [None] * len(sets)
+            for row, (own, node) in enumerate(zip(sets, nodes_here)):
                 if node in done:
                     continue
                 done.add(node)
+                prints[row] = fingerprint(own, bits)
+                if not len(own):
+                    continue
                 counts = np.zeros(len(own), np.int64)
                 if len(listed):
                     at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
                     counts = np.where(listed[at] == own, often[at], 0)
-                first = prefix(own, counts, similarity)
+                first = prefix(own, counts, similarity) >> np.uint64(16)  # 48 bits; a clash is one candidate more
+                keys.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
-                blocks.append(first.view(np.int64))
-            if nodes:
-                yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(blocks))], ["node", "block"])
+                held += len(first)
+            none = pa.nulls(len(sets), pa.binary())
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(nodes_here, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sets), pa.int32()), none, none],
+                names,
+            )
+            if held > PAIRS:
+                yield packed()
+                held = 0
+            if len(done) > PAIRS:
+                done.clear()
+        if keys:
+            yield packed()
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "node long, block long").repartition("block").distinct()
-
-
-def similar_forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int):
-    """(u, v): a spanning forest of the pairs with fingerprints at ``distance`` or less and a Jaccard similarity of
-    ``similarity`` or more. Sets are sorted; a pair is left out only where other links join it already."""
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(frugal(run), _LISTED)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, nodes) from packed rows (part, keys, nodes) sorted by part: every different set of nodes that share a
+    shingle. A set of more than TILE nodes is cut into parts, and each two parts are a block of their own."""
+    part, keys, nodes = None, [], []
+
+    def found():
+        h, node = np.concatenate(keys), np.concatenate(nodes)
+        keys.clear(), nodes.clear()
+        order = np.lexsort((node, h))
+        h, node = h[order], node[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+        h, node = h[new], node[new]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        sets = np.unique(np.stack([node[first[size == 2]], node[first[size == 2] + 1]], 1), axis=0)
+        out = {s.tobytes() for s in sets} | {node[a : a + n].tobytes() for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist())}
+        for raw in list(out):
+            if len(raw) > 8 * TILE:
+                out.remove(raw)
+                cut = np.array_split(np.frombuffer(raw, np.int64), ceil(len(raw) / 8 / TILE))
+                out |= {np.concatenate([a, b]).tobytes() for i, a in enumerate(cut) for b in cut[i + 1 :]}
+        rows = sorted(out)
+        for a in range(0, len(rows), 1000):
+            own = rows[a : a + 1000]
+            names = [int(np.uint64(xxhash.xxh64_intdigest(x, 9)).view(np.int64)) for x in own]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in own])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(own), np.int64)))
+            yield pa.record_batch([pa.array(names, pa.int64()), lists], ["block", "nodes"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p, k, v = (batch.column(c)[i].as_py() for c in range(3))
+            if p != part and keys:
+                yield from found()
+            part = p
+            keys.append(unpack(k))
+            nodes.append(unplaned(v, len(keys[-1]), np.int64))
+    if keys:
+        yield from found()
+
+
+def similar_forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int, verify: bool = True):
+    """(u, v): a spanning forest of the pairs with fingerprints at ``distance`` or less and, if ``verify``, a Jaccard
+    similarity of ``similarity`` or more. Sets are sorted; a pair is left out only where other links join it already."""
     size = np.array([len(s) for s in sets])
     left, right = [], []
     alone = np.arange(len(nodes))
@@ -312,16 +383,18 @@ def similar_forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], s
             queue, alone = [int(alone[0])], alone[1:]
         i = queue.pop()
         near = np.bitwise_count(fps[alone] ^ fps[i]).sum(1, dtype=np.int32) <= distance
-        near &= np.minimum(size[alone], size[i]) >= similarity * np.maximum(size[alone], size[i]) - 1e-9
-        rivals = alone[near]
-        rivals = rivals[size[rivals] > 0]
-        if not len(rivals):
+        if verify:
+            near &= np.minimum(size[alone], size[i]) >= similarity * np.maximum(size[alone], size[i]) - 1e-9
+            near &= size[alone] > 0
+        found = alone[near]
+        if verify and len(found):
+            joined = np.concatenate([sets[j] for j in found])
+            at = np.minimum(np.searchsorted(sets[i], joined), size[i] - 1)
+            begin = np.cumsum(size[found]) - size[found]
+            both = np.add.reduceat((sets[i][at] == joined).astype(np.int64), begin)
+            found = found[both >= similarity * (size[found] + size[i] - both) - 1e-9]
+        if not len(found):
             continue
-        joined = np.concatenate([sets[j] for j in rivals])
-        at = np.minimum(np.searchsorted(sets[i], joined), size[i] - 1)
-        begin = np.cumsum(size[rivals]) - size[rivals]
-        both = np.add.reduceat((sets[i][at] == joined).astype(np.int64), begin)
-        found = rivals[both >= similarity * (size[rivals] + size[i] - both) - 1e-9]
         left.append(np.maximum(nodes[found], nodes[i]))
         right.append(np.minimum(nodes[found], nodes[i]))
         alone = np.setdiff1d(alone, found, assume_unique=True)
@@ -330,72 +403,93 @@ def similar_forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], s
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def _forests(similarity: float, distance: int, verify: bool):
+    """Edges of each row's nodes, from (nodes, fps) and, to verify, sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in range(batch.num_rows):
+                own = [batch.column(k)[row].values for k in range(batch.num_columns)]
+                nodes = own[0].to_numpy()
+                fps = np.frombuffer(b"".join(own[1].to_pylist()), np.uint64).reshape(len(nodes), -1)
+                sets = [np.frombuffer(x, np.uint64) for x in own[2].to_pylist()] if verify else [fps[0]] * len(nodes)
+                u, v = similar_forest(nodes, fps, sets, similarity, distance, verify)
+                left.append(u), right.append(v)
+            yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["u", "v"])
+
+    return run
+
+
 def similar_texts(docs: DataFrame, shingle: int, similarity: float, bits: int, distance: int) -> DataFrame:
     """(doc_id, text_hash, component_id) for every row of ``docs``: components of all pairs whose shingle sets have
     a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a shingle of their prefixes, which all such pairs do, and have fingerprints of distinct
+    Candidates share a shingle of their prefixes, which all such pairs do, and have SimHash fingerprints of distinct
     shingles at ``distance`` or less, which is to be set so wide that no such pair is farther. In each cluster
     of candidates, every pair that links do not join already is verified by its shingle sets. Large blocks
     and clusters are cut into tiles, so no task holds a whole one. Sets and shingles go by 64-bit hashes.
 
     component_id is the smallest doc_id of the component, null if it has none. text_hash is Spark's xxhash64.
-    Texts without words are copies of each other.
+    Texts without words are copies of each other. Repeated rows stay; other columns are not read; an empty table
+    gives no rows.
     """
-
-    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, shingle) for t in raw_texts(batch.column(2))]
-        fps = pa.array([fingerprint(s, bits) for s in sets], pa.binary())
-        nodes = pa.array([_name(s) for s in sets], pa.int64())
-        return pa.record_batch([batch.column(0), batch.column(1), nodes, fps], ["doc_id", "text_hash", "node", "fp"])
-
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    stored = Stored(spark)
     hashed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = checkpointed(per_batch(hashed, prints, "doc_id long, text_hash long, node long, fp binary"))
-    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
-    near = components(links(classes, _prefix_blocks(docs, shingle, similarity, rows.count()), distance))
-    near = near.union(near.select("root", "root").distinct())
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = min(PARTS, ceil((total["bytes"] or 0) / PART_TEXT) or 1)
+    common = spark.sparkContext.broadcast(_common(docs, shingle, total["n"]))  # at most COMMON shingles
+    listed = stored(_listed(hashed, shingle, similarity, bits, parts, common))
+    rows = stored(listed.where("part is null").select("doc_id", "text_hash", "node", "fp"))
+    packed = listed.where("part is not null").select("part", "keys", "nodes").repartition(parts, "part").sortWithinPartitions("part")
+    blocks = stored(
+        packed.mapInArrow(frugal(_blocks), "block long, nodes array<long>").groupBy("block").agg(F.first("nodes").alias("nodes"))
+    )
+    del packed
+    stored.drop(listed)
+    stored.release()
+    prints = rows.where("fp is not null").groupBy("node").agg(F.first("fp").alias("fp"))
+    grouped = (
+        blocks.select("block", F.explode("nodes").alias("node")).join(prints, "node")
+        .groupBy("block").agg(F.collect_list(F.struct("node", "fp")).alias("m"))
+        .select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
+    )
+    near = components(grouped.mapInArrow(frugal(_forests(0.0, distance, False)), "u long, v long").distinct())
+    near = near.union(near.select("root", "root").distinct()).withColumnRenamed("root", "block")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, shingle) for t in raw_texts(batch.column(1))]
-        names = np.array([_name(s) for s in found], np.int64)
-        mine = np.flatnonzero(names == batch.column(0).to_numpy())
+        found = shingle_sets(*text_bytes(batch.column(2)), shingle)
+        mine = np.flatnonzero(np.array([_name(s) for s in found], np.int64) == batch.column(0).to_numpy())  # but for texts that share a hash
         own = [found[i] for i in mine]
-        columns = [pa.array(names[mine]), pa.array([fingerprint(s, bits) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
-        return pa.record_batch(columns, ["node", "fp", "hashes"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = [batch.column(k)[row].values for k in range(3)]
-                fps = np.frombuffer(b"".join(own[1].to_pylist()), np.uint64).reshape(len(own[1]), -1)
-                members = [np.frombuffer(x, np.uint64) for x in own[2].to_pylist()]
-                u, v = similar_forest(own[0].to_numpy(), fps, members, similarity, distance)
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    one = near.join(rows, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    texts = hashed.join(one, "text_hash").select("node", "text")
-    held = checkpointed(
-        per_batch(texts, sets, "node long, fp binary, hashes binary").groupBy("node").agg(F.first("fp").alias("fp"), F.first("hashes").alias("hashes"))
-    )
-    blocks = near.select("node", F.col("root").alias("block"))
-    sizes = blocks.join(held, "node").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes"))
+        at = pa.array(mine)
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([fingerprint(s, bits) for s in own], pa.binary())]
+        return pa.record_batch([*columns, pa.array([s.tobytes() for s in own], pa.binary())], ["node", "block", "fp", "hashes"])
+
+    del grouped
+    stored.release()
+    # sets are made again for the clusters alone, from one row's text for each node: of its least id, or from any
+    one = rows.join(near, "node").groupBy("node", "block").agg(F.min(F.struct("text_hash", "doc_id")).alias("one"))
+    one = one.select("node", "block", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("one"))
+    texts = hashed.join(one, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("one"))).select("node", "block", "text")
+    own = stored(per_batch(texts, sets, "node long, block long, fp binary, hashes binary").dropDuplicates(["node"]))
+    stored.drop(blocks)
+    stored.release()
+    sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes"))
     sizes = sizes.select("block", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("bytes") / PART_BYTES)).cast("int").alias("parts"))
-    grouped = (
-        tiles(blocks, sizes).join(held, "node")
+    clusters = (
+        tiles(own.select("node", "block"), sizes).join(own.select("node", "fp", "hashes"), "node")
         .groupBy("block", "a", "b")
         .agg(F.collect_list(F.struct("node", "fp", "hashes")).alias("m"))
         .select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"), F.col("m.hashes").alias("sets"))
     )
-    roots = components(grouped.mapInArrow(verify, "u long, v long").distinct())
+    roots = components(clusters.mapInArrow(frugal(_forests(similarity, distance, True)), "u long, v long").distinct())
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "text_hash", "component_id")
-
-
-def tables_for(bits: int, width: int, similarity: float, recall: float = 0.98) -> int:
-    """Tables of ``width`` sampled bits needed to meet a pair of that shingle similarity (Jaccard)."""
-    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return ceil(np.log(1 - recall) / np.log(1 - agree**width))
+    out = checkpointed(named.join(least, "root").select("doc_id", "text_hash", "component_id"))
+    stored.drop(rows, own)
+    return out
 
 
-__all__ = ["fingerprint", "fingerprints", "near_duplicates", "pigeonhole_masks", "shingle_hashes", "similar_texts", "tables_for"]
+__all__ = ["fingerprint", "fingerprints", "near_duplicates", "pigeonhole_masks", "shingle_hashes", "shingle_sets", "similar_texts"]

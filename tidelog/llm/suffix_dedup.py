@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, bounded_batches, checkpointed, per_batch, raw_texts
+from .common import BYTE_VALUES, Stored, bounded_batches, checkpointed, frugal_group, per_batch, powers, raw_texts
 
 ANCHOR = 64
 #: Bytes hashed together; longer texts are taken in parts, whose strings begin in different parts only.
@@ -31,27 +31,14 @@ SHARD_BYTES, HOT = 1 << 20, 1000
 #: Strings that sub-shards exchange are dealt to ranges of digests of about this many.
 RANGE = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        ones = lambda b: np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, b, np.uint64))])
-        _POWERS[:] = [ones(_BASE), ones(_INVERSE)]
-    return _POWERS[0], _POWERS[1]
-
-
 def run_hashes(data: np.ndarray, size: int = ANCHOR) -> np.ndarray:
     """A hash of every run of ``size`` bytes, which depends on those bytes alone."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * down[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_VALUES[data] * down[: len(data)], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * up[:n]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -421,11 +408,11 @@ def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
     pieces = dealt.join(texts, ["h1", "h2"]).select(
         *dealt.columns, F.substring("text", F.col("first").cast("int") + 1, (F.col("begins") + least - 1).cast("int")).alias("piece")
     )
-    shard_out = stored(pieces.groupBy("shard").applyInArrow(_in_shard(least, ranges), _SHARD_OUT))
+    shard_out = stored(pieces.groupBy("shard").applyInArrow(frugal_group(_in_shard(least, ranges)), _SHARD_OUT))
     merged = (
         shard_out.where("range is not null")
         .groupBy("range")
-        .applyInArrow(_merge(least), "h1 long, h2 long, lo long, hi long")
+        .applyInArrow(frugal_group(_merge(least)), "h1 long, h2 long, lo long, hi long")
     )
     spans = checkpointed(
         whole.unionByName(shard_out.where("lo is not null").select("h1", "h2", "lo", "hi"))
