@@ -12,8 +12,8 @@ from ..schema import COLUMNS, DELETE, OPS
 
 #: Rows and bytes of a file, and rows of a page, which is the grain of skipping inside a file.
 FILE_ROWS, FILE_BYTES, PAGE_ROWS = 1_000_000, 128 << 20, 4096
-#: Keys that a bloom filter is made for at most; it is made smaller if fewer come.
-BLOOM_KEYS = 4_000_000
+#: Bytes of a file's bloom filter at most; it is made as small as its keys allow.
+BLOOM_BYTES = 4 << 20
 
 
 def parts_for(rows: int, size: int) -> int:
@@ -42,7 +42,8 @@ def write(df: DataFrame, folder: Folder, name: str, level: int) -> Run | None:
     (
         observed.write.option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true")
-        .option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS))
+        .option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
+        .option("parquet.bloom.filter.candidates.number", "10")
         .option("parquet.page.row.count.limit", str(PAGE_ROWS))
         .option("parquet.page.write-checksum.enabled", "true")
         .parquet(f"{folder.root}/{name}")
