@@ -1,9 +1,10 @@
-"""Benchmark decontamination: BM25 over test items, block-max pruning, then question and answer overlap."""
+"""Benchmark decontamination: BM25 over test items by block-max WAND, then question and answer overlap."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, log
@@ -14,18 +15,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal, per_batch
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item if it scores this share of what the item scores on itself.
 RETRIEVE = 0.6
-#: A retrieved item is a leak if these shares of its question's shingles and its answer's words are there.
-QUESTION, ANSWER, SHINGLE = 0.8, 0.8, 5
-#: Items of one index, and their bytes; more items make more indexes, each with a pass of its own.
-ITEMS, ITEM_BYTES = 4000, 4 << 20
-#: Items that share one bound in the index.
-GROUP = 8
+#: A retrieved item is a leak if a share of its question and of its answer's words is there. Of the question that is
+#: QUESTION of its five-word shingles or, as one changed word takes five of those, PAIRS of its two-word ones; of the
+#: answer ANSWER of its words, or all but one of at least three.
+QUESTION, PAIRS, ANSWER, SHINGLE = 0.8, 0.6, 0.8, 5
+#: Bytes of the items of one index; more make more indexes, each with a pass of its own.
+ITEM_BYTES = 16 << 20
+#: Items that share one bound, and most such blocks of an index: more items make larger blocks.
+GROUP, BLOCKS = 8, 4096
+#: Bounds of passages by block that are summed together.
+BOUNDS = 1 << 22
 #: Characters of texts looked up together.
 TOGETHER = 1 << 20
 
@@ -53,26 +58,35 @@ def shingles(words: list, size: int = SHINGLE) -> set[tuple]:
 
 @dataclass
 class Index:
-    """An inverted index with normalised BM25 weights: an item scores 1 on its own text."""
+    """An inverted index with normalised BM25 weights: an item scores 1 on its own text.
 
-    ids: list[int]
+    A term's postings are in the order of items. ``width`` items side by side are a block; each term has the blocks
+    that it is in, with its largest weight there and the first of its postings there.
+    """
+
+    ids: list[int | None]
     terms: dict[str, int]
     longest: int  # words of the longest item
+    width: int
     top: np.ndarray  # each term's largest weight in any item
-    bounds: np.ndarray  # terms x groups: its largest weight in a group of items
-    postings: list[dict[int, list[tuple[int, float]]]]  # by group: term -> (item, weight)
-    questions: list[set[tuple]]
+    items: np.ndarray
+    weights: np.ndarray
+    block_begin: np.ndarray  # of each term's blocks, n + 1
+    block: np.ndarray
+    block_top: np.ndarray
+    block_first: np.ndarray  # of the postings of each term and block, and the end of all
+    questions: list[list[int]]
     answers: list[set[int]]
 
 
-def build(items: list[tuple[int, str]], frequency: dict[str, int], n_items: int, mean_words: float) -> Index:
+def build(items: list[tuple[int | None, str]], frequency: dict[str, int], n_items: int, mean_words: float) -> Index:
     split = [(i, *question_and_answer(t)) for i, t in items]
-    # items with like words are near each other if sorted by their rarest word, which sharpens the group bounds
+    # items with like words are near each other if sorted by their rarest word, which sharpens the bounds of blocks
     rare = lambda ws: min(ws, key=lambda w: (frequency[w], w), default="")
-    split.sort(key=lambda x: (rare(x[1] + x[2]), x[0]))
+    split.sort(key=lambda x: (rare(x[1] + x[2]), x[0] is None, x[0] or 0, x[1:]))
     terms: dict[str, int] = {}
-    weights = []
-    for _, q, a in split:
+    term_of, item_of, weight_of = [], [], []
+    for k, (_, q, a) in enumerate(split):
         counts = Counter(q + a)
         long = K1 * (1 - B + B * (len(q) + len(a)) / mean_words)
         own = {
@@ -80,59 +94,151 @@ def build(items: list[tuple[int, str]], frequency: dict[str, int], n_items: int,
             for w, n in counts.items()
         }
         total = sum(own.values()) or 1
-        weights.append({t: w / total for t, w in own.items()})
-    groups = -(-len(split) // GROUP)
-    bounds = np.zeros((len(terms), groups), np.float32)
-    postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(groups)]
-    for k, own in enumerate(weights):
-        for t, w in own.items():
-            bounds[t, k // GROUP] = max(bounds[t, k // GROUP], w)
-            postings[k // GROUP].setdefault(t, []).append((k, w))
+        term_of += own
+        item_of += [k] * len(own)
+        weight_of += [w / total for w in own.values()]
+    term, item, weight = np.array(term_of, np.int64), np.array(item_of, np.int32), np.array(weight_of, np.float64)
+    order = np.lexsort((item, term))
+    term, item, weight = term[order], item[order], weight[order]
+    width = max(GROUP, ceil(len(split) / BLOCKS))
+    block = item // width
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+    block_begin = np.searchsorted(term[first], np.arange(len(terms) + 1))
     code = lambda ws: [terms[w] for w in ws]
     return Index(
         [i for i, _, _ in split],
         terms,
         max((len(q) + len(a) for _, q, a in split), default=1),
-        bounds.max(1) if groups else np.zeros(0, np.float32),
-        bounds,
-        postings,
-        [shingles(code(q)) for _, q, _ in split],
+        width,
+        np.maximum.reduceat(most, block_begin[:-1]) if len(first) else np.zeros(0),
+        item,
+        weight,
+        block_begin,
+        block[first],
+        most,
+        np.append(first, len(term)),
+        [code(q) for _, q, _ in split],
         [set(code(a)) for _, _, a in split],
     )
 
 
+def live_blocks(index: Index, passage: np.ndarray, term: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(passage, its terms' entries in one block) wherever the largest weights that the passage's terms have in the
+    block sum to ``least`` or more. ``passage`` is sorted, its terms are distinct. No other block can hold an item to
+    retrieve. An entry is a place in block, block_top and block_first."""
+    n = index.block_begin[term + 1] - index.block_begin[term]
+    blocks = -(-len(index.ids) // index.width)
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(term):
+        # whole passages, of about BOUNDS bounds
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BOUNDS, "right"))
+        stop = int(np.searchsorted(passage, passage[min(stop, len(term) - 1)])) if stop < len(term) else len(term)
+        if stop <= at:
+            stop = int(np.searchsorted(passage, passage[at], "right"))
+        count = n[at:stop]
+        entry = np.repeat(index.block_begin[term[at:stop]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        names, place = np.unique(passage[at:stop], return_inverse=True)
+        key = np.repeat(place, count) * blocks + index.block[entry]
+        live = np.bincount(key, index.block_top[entry], len(names) * blocks) >= least - 1e-9
+        mine = np.flatnonzero(live[key])
+        mine = mine[np.argsort(key[mine], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], key[mine][1:] != key[mine][:-1]])) if len(mine) else mine
+        for a, b in zip(first.tolist(), np.append(first[1:], len(mine)).tolist()):
+            yield int(names[key[mine[a]] // blocks]), entry[mine[a:b]]
+        at = stop
+
+
+def wand(index: Index, entries: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
+    """(item, score) of every item of a block that scores ``least`` or more on the terms with these entries there.
+
+    One cursor for each term, ordered by the item it is at. The pivot is the first cursor up to which the terms' largest
+    weights in the block reach ``least``: no item before the pivot's can, so the cursors before it skip to it. An item
+    that they all stand at is scored.
+    """
+    begin, end = index.block_first[entries].tolist(), index.block_first[entries + 1].tolist()
+    cursors = []  # [item, place, items, weights, largest weight]
+    for a, b, most in zip(begin, end, index.block_top[entries].tolist()):
+        items = index.items[a:b].tolist()
+        cursors.append([items[0], 0, items, index.weights[a:b].tolist(), most])
+    bound = least - 1e-9
+    while cursors:
+        cursors.sort(key=_item_of)
+        reach, p = 0.0, -1
+        for k, c in enumerate(cursors):
+            reach += c[4]
+            if reach >= bound:
+                p = k
+                break
+        if p < 0:
+            return
+        item, score = cursors[p][0], 0.0
+        if cursors[0][0] == item:
+            for c in cursors:
+                if c[0] != item:
+                    break
+                score += c[3][c[1]]
+                c[1] += 1
+            if score >= bound:
+                yield item, score
+        else:
+            for c in cursors[:p]:
+                while c[1] < len(c[2]) and c[2][c[1]] < item:
+                    c[1] += 1
+        for c in cursors[: p + 1] if not score else cursors:
+            c[0] = c[2][c[1]] if c[1] < len(c[2]) else -1
+        cursors = [c for c in cursors if c[0] >= 0]
+
+
+def _item_of(cursor: list) -> int:
+    return cursor[0]
+
+
 def retrieve(index: Index, words: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(passage, item, score) for all items at RETRIEVE or more of their own score.
+    """(begin, end, item, score) for all items at RETRIEVE or more of their own score, by passage.
 
-    ``words`` are term numbers, -1 for others. First the sum of each term's largest weight bounds a
-    passage's best score; passages over the threshold are bounded by group of items, and only groups over
-    it are scored.
+    ``words`` are term numbers, -1 for others. Where the sum of all terms' largest weights is below the threshold, no
+    pivot can be found; nor in blocks where the sum of their largest weights in the block is. Both are decided for many
+    passages at once; the cursors walk the blocks that are left.
     """
     known = np.flatnonzero(words >= 0)
     if not len(known) or not len(starts):
         return
     # words repeated inside one half passage count once: sort (half passage, term), keep the first of each
     half_first = np.searchsorted(starts, known, "right") - 1
-    key = np.sort(half_first.astype(np.int64) << 32 | words[known])
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    key = _distinct(half_first.astype(np.int64) << 32 | words[known])
     mass = np.bincount(key >> 32, index.top[key & 0xFFFFFFFF], len(starts))
     after = np.zeros(len(starts))
-    same = starts[1:] == ends[:-1]  # the next half belongs to the same text
-    after[:-1][same] = mass[1:][same]
-    for p in np.flatnonzero(mass + after >= RETRIEVE - 1e-4):
-        stop = ends[p + 1] if p + 1 < len(starts) and starts[p + 1] == ends[p] else ends[p]
-        own = words[starts[p] : stop]
-        own = np.unique(own[own >= 0])
-        bound = index.bounds[own].sum(0)
-        for g in np.flatnonzero(bound >= RETRIEVE - 1e-4):
-            scores: dict[int, float] = {}
-            postings = index.postings[g]
-            for t in own.tolist():
-                for k, w in postings.get(t, ()):
-                    scores[k] = scores.get(k, 0) + w
-            for k, s in scores.items():
-                if s >= RETRIEVE:
-                    yield int(starts[p]), int(stop), k, s
+    same = np.append(starts[1:] == ends[:-1], False)  # the next half belongs to the same text
+    after[:-1][same[:-1]] = mass[1:][same[:-1]]
+    hopeful = mass + after >= RETRIEVE - 1e-6
+    half = key >> 32
+    second = key[(half > 0) & same[half - 1]] - (1 << 32)  # a half's terms belong to the passage before, too
+    key = np.concatenate([key[hopeful[half]], second[hopeful[second >> 32]]])
+    key = _distinct(key)
+    for p, entries in live_blocks(index, key >> 32, key & 0xFFFFFFFF, RETRIEVE):
+        for k, score in wand(index, entries, RETRIEVE):
+            yield int(starts[p]), int(ends[p + 1] if same[p] else ends[p]), k, score
+
+
+def _distinct(key: np.ndarray) -> np.ndarray:
+    key = np.sort(key)
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+
+
+def overlaps(question: list[int], answer: set[int], passage: list[int]) -> tuple[float, float, bool]:
+    """(share of the question's five-word shingles, share of the answer's words, whether that is a leak)."""
+    def share(size: int) -> float:
+        wanted = shingles(question, size)
+        size = len(next(iter(wanted), ()))
+        return len(wanted & shingles(passage, max(1, size))) / len(wanted) if wanted else 1.0
+
+    asked = share(SHINGLE)
+    there = len(answer & set(passage))
+    told = there / len(answer) if answer else 1.0
+    answered = told >= ANSWER or len(answer) >= 3 and there >= len(answer) - 1
+    return asked, told, answered and (asked >= QUESTION or share(2) >= PAIRS)
 
 
 def leaks_in(index: Index, texts: list[str]) -> list[tuple[int, int, float, float, float]]:
@@ -157,12 +263,8 @@ def leaks_in(index: Index, texts: list[str]) -> list[tuple[int, int, float, floa
         row_of = dict(zip(starts, rows))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for s, e, k, score in retrieve(index, codes, begin, end):
-            passage = codes[s:e].tolist()
-            q, a = index.questions[k], index.answers[k]
-            have = shingles(passage) if len(next(iter(q), ())) == SHINGLE else shingles(passage, max(1, len(next(iter(q), ()))))
-            question = len(q & have) / len(q) if q else 1.0
-            answer = len(a & set(passage)) / len(a) if a else 1.0
-            if question >= QUESTION and answer >= ANSWER:
+            question, answer, leak = overlaps(index.questions[k], index.answers[k], codes[s:e].tolist())
+            if leak:
                 found = (score, question, answer)
                 place = (row_of[s], k)
                 best[place] = max(best.get(place, found), found)
@@ -171,7 +273,7 @@ def leaks_in(index: Index, texts: list[str]) -> list[tuple[int, int, float, floa
 
 
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most ITEMS items of ITEM_BYTES together
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # of ITEM_BYTES of items
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -186,10 +288,22 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+        frugal(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     )
 
 
+def _split(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_text, words): the distinct words of each item that has any, as passages are cut into words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [sorted(set(words_of(t or ""))) for t in batch.column(1).to_pylist()]
+        n = [len(words_of(t or "")) for t in batch.column(1).to_pylist()]
+        return pa.record_batch([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(n, pa.int64())], ["item_id", "item_text", "words", "n"])
+
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("item_text"))
+    return per_batch(items, run, "item_id long, item_text string, words array<string>, n long").where("n > 0")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every benchmark item found in a text.
 
@@ -198,35 +312,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the item's score on itself; passages are words without case or punctuation.
 
     Null and empty texts have no leaks; items without a word match nothing; an item repeated in a text is
-    one row; repeated rows of ``docs`` or ``benchmark`` give rows each. Empty tables give no rows. The items
-    are cut into indexes of bounded size; each is one pass over ``docs``.
+    one row; repeated rows of ``docs`` or ``benchmark`` give rows each; a null doc_id or item_id stays null. Other
+    columns are not read. Empty tables give no rows. Items of more than ITEM_BYTES are cut into indexes of about
+    that size; each is one pass over ``docs``.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("item_text")).where(F.col("item_text").rlike(r"[\w]"))
-    words = F.array_remove(F.split(F.regexp_replace(F.lower("item_text"), r"(?U)\W+", " "), " "), "")
-    split = items.select("item_id", "item_text", words.alias("words"))
+    split = _split(benchmark)
     totals = split.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words"), F.sum(F.octet_length("item_text")).alias("bytes")
+        F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.sum(F.octet_length("item_text")).alias("bytes")
     ).first()
     if not totals["n"]:
-        empty = docs.sparkSession.createDataFrame(
+        return docs.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
         )
-        return empty
-    parts = max(ceil(totals["n"] / ITEMS * 1.2), ceil(totals["bytes"] / ITEM_BYTES * 1.2)) if totals["n"] > ITEMS or totals["bytes"] > ITEM_BYTES else 1
+    parts = ceil(totals["bytes"] / ITEM_BYTES * 1.2) if totals["bytes"] > ITEM_BYTES else 1
     part = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts))
-    frequency = split.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = split.select(part.alias("part"), F.explode("words").alias("w"))
+    # how many items have each word, beside each part that has it: a part's share is bounded as its items are
+    frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.collect_set("part").alias("parts"))
     found = []
     for k in range(parts):
-        own = items.where(part == k).select("item_id", "item_text").collect()
-        listed = sorted((r["item_id"] if r["item_id"] is not None else -1, r["item_text"]) for r in own)
-        mine = {w for _, t in listed for w in words_of(t)}
-        if not mine:
+        listed = [(r["item_id"], r["item_text"]) for r in split.where(part == k).select("item_id", "item_text").collect()]
+        if not listed:
             continue
-        if parts == 1:
-            counts = {r["w"]: r["n"] for r in frequency.collect()}
-        else:
-            wanted = docs.sparkSession.createDataFrame([(w,) for w in sorted(mine)], "w string")
-            counts = {r["w"]: r["n"] for r in frequency.join(F.broadcast(wanted), "w").collect()}
-        counts = {w: counts.get(w, 1) for w in mine}
+        counts = {r["w"]: r["n"] for r in frequency.where(F.array_contains("parts", F.lit(k).cast("long"))).select("w", "n").collect()}
         found.append(_scan(docs, build(listed, counts, totals["n"], totals["words"] / totals["n"])))
     return reduce(DataFrame.unionByName, found)
