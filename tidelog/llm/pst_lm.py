@@ -8,17 +8,18 @@ sorted array, and gets their probabilities back. No count is left out at any siz
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log10
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, bounded_batches, crc_remainder, raw_texts
+from .common import Stored, bounded_batches, crc_remainder, dealt, frugal, frugal_group, pack, packed_size, planes, raw_texts, starts, text_bytes, unpack, unplaned
+from .words import word_codes
 
 #: Longest context in bytes: a symbol and its context are one 64-bit key.
 DEPTH = 7
@@ -27,13 +28,12 @@ TOP = 2
 #: A longer context stays if it explains its training bytes by this many nats better than its suffix does.
 GAIN = 12.0
 #: Bytes turned into keys together, and bytes of the texts of one block.
-SLICE, BLOCK_TEXT = 4 << 20, 32 << 20
+SLICE, BLOCK_TEXT = 1 << 20, 12 << 20
 #: Bytes of text for each part of the contexts and of the words, and most parts of either.
 PART_TEXT, WORD_TEXT, PARTS = 16 << 20, 64 << 20, 4096
-#: Keys, and words, that a worker counts before it hands them on.
-KEYS, HELD = 3 << 20, 200_000
+#: Different keys, and words, that a worker counts before it hands them on.
+KEYS = 3 << 19
 
-_CODEC = pa.Codec("zstd", compression_level=1)
 _COUNTED = "part int, kind int, block int, keys binary, counts binary"
 
 
@@ -74,19 +74,21 @@ def sliced(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
-    """Where each value of sorted ``keys`` begins."""
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-
-
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their ``n``."""
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
-    first = _starts(keys)
+    first = starts(keys)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each is there."""
+    keys = np.sort(keys)
+    first = starts(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _at(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, found) of each of ``asked`` in sorted ``values``."""
     if not len(values):
@@ -95,30 +97,6 @@ def _at(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, values[place] == asked
 
 
-# -- packed arrays: what tasks exchange
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """An array, byte by byte of like weight, compressed."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""
-    return _CODEC.compress(raw, asbytes=True)
-
-
-def _unplaned(data: bytes, n: int, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(_CODEC.decompress(data, n * width, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel() if n else np.zeros(0, kind)
-
-
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences."""
-    return len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplaned(data[8:], int.from_bytes(data[:8], "little"), np.uint64), dtype=np.uint64)
-
-
 @dataclass(frozen=True)
 class Parts:
     """How keys are dealt: contexts by a hash of their three nearest bytes, words by their own hash, and one part for
@@ -143,18 +121,6 @@ class Parts:
         return ((hashes >> np.uint64(32)) % np.uint64(self.words) + np.uint64(self.contexts)).astype(np.uint16)
 
 
-def _dealt(keys: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places of its keys, in order)."""
-    order = np.argsort(part, kind="stable")
-    first = np.append(_starts(part[order]), len(order))
-    for a, b in zip(first.tolist(), first[1:].tolist()):
-        yield int(part[order[a]]), order[a:b]
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
-
-
 # -- counting
 
 
@@ -185,43 +151,25 @@ def _count(parts: Parts):
     """Packed counts of the contexts and words of texts, a row for each part whenever a worker holds enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, top, hashed, words = _Counter(), _Counter(), _Counter(), {}
-
-        def fold_words():
-            if words:
-                h, n = word_hashes(list(words)), np.fromiter(words.values(), np.int64, len(words))
-                hashed.add(*_summed(h, n))
-                words.clear()
+        contexts, words = _Counter(), _Counter()
 
         def flush():
-            fold_words()
-            out = []
-            for counter, deal in ((contexts, parts.of_keys), (hashed, parts.of_words), (top, lambda k: np.full(len(k), parts.top, np.uint16))):
+            keys, n = contexts.merged()
+            rows = [(parts.top, 0, 0, pack(k), planes(v)) for k, v in [_summed(short_of(keys, TOP), n)]]
+            for counter, deal in ((contexts, parts.of_keys), (words, parts.of_words)):
                 keys, n = counter.merged()
-                out += [(p, 0, 0, pack(keys[at]), _planes(n[at])) for p, at in _dealt(keys, deal(keys))]
+                rows += [(p, 0, 0, pack(keys[at]), planes(n[at])) for p, at in dealt(keys, deal(keys))]
                 counter.__init__()
-            return _rows(out)
+            return _rows(rows)
 
         for batch in batches:
+            words.add(*_distinct(word_codes(*text_bytes(batch.column(0)))[0]))
             for texts in sliced(raw_texts(batch.column(0))):
-                keys = np.sort(keys_of(texts)[0])
-                first = _starts(keys)
-                n = np.diff(np.append(first, len(keys)))
-                keys = keys[first]
-                contexts.add(keys, n)
-                top.add(*_summed(short_of(keys, TOP), n))
-                for text in texts:
-                    for w in text.lower().split():
-                        words[w] = words.get(w, 0) + 1
-                    if len(words) > HELD:
-                        fold_words()
-                for counter in (contexts, top, hashed):
-                    if counter.size > 2 * KEYS:
-                        counter.merged()
-                if contexts.size > KEYS or hashed.size > KEYS:
-                    contexts.merged(), hashed.merged()
-                if contexts.size > KEYS or hashed.size > KEYS:
-                    yield flush()
+                contexts.add(*_distinct(keys_of(texts)[0]))
+                if contexts.size > 2 * KEYS or words.size > 2 * KEYS:
+                    contexts.merged(), words.merged()
+                    if contexts.size > KEYS or words.size > KEYS:
+                        yield flush()
         yield flush()
 
     return run
@@ -240,7 +188,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done():
         keys, n = held.merged()
-        return _rows([(part, 0, 0, pack(keys), _planes(n))])
+        return _rows([(part, 0, 0, pack(keys), planes(n))])
 
     for p, _, _, keys, counts in _streamed(batches):
         if p != part:
@@ -248,7 +196,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done()
             part, held, distinct = p, _Counter(), 0
         got = unpack(keys)
-        held.add(got, _unplaned(counts, len(got), np.int64))
+        held.add(got, unplaned(counts, len(got), np.int64))
         if held.size > max(KEYS, 2 * distinct):
             distinct = len(held.merged()[0])
     if part is not None:
@@ -258,8 +206,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(train: DataFrame, parts: Parts) -> DataFrame:
     """One packed row for each part: all keys of ``train`` there, with how often they occur."""
     bounded_batches(train.sparkSession)
-    rows = train.select("text").mapInArrow(_count(parts), _COUNTED)
-    return rows.repartition(parts.top + 1, "part").sortWithinPartitions("part").mapInArrow(_merge, _COUNTED)
+    rows = train.select("text").mapInArrow(frugal(_count(parts)), _COUNTED)
+    return rows.repartition(parts.top + 1, "part").sortWithinPartitions("part").mapInArrow(frugal(_merge), _COUNTED)
 
 
 # -- the tree
@@ -284,7 +232,7 @@ class Level:
     def of(pairs: np.ndarray, counts: np.ndarray) -> Level:
         """From sorted distinct pairs."""
         context = pairs >> np.uint64(8)
-        first = _starts(context)
+        first = starts(context)
         total = np.add.reduceat(counts, first) if len(first) else counts
         return Level(context[first], total, np.diff(np.append(first, len(pairs))), pairs, counts)
 
@@ -360,16 +308,16 @@ def _answer(parts: Parts, shared):
                 part, tree, words = p, [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             asked = unpack(keys)
             if kind == 0:
-                n = _unplaned(counts, len(asked), np.int64)
+                n = unplaned(counts, len(asked), np.int64)
                 if p < parts.contexts:
                     tree = prune(levels(asked, n, DEPTH, TOP + 1), shared.value[TOP])
                 else:
                     words = asked, n
             elif p < parts.contexts:
-                yield _rows([(p, 0, block, None, _planes(log10_of(shared.value, tree, asked).astype(np.float32)))])
+                yield _rows([(p, 0, block, None, planes(log10_of(shared.value, tree, asked).astype(np.float32)))])
             else:
                 at, there = _at(words[0], asked)
-                yield _rows([(p, 0, block, None, _planes(np.where(there, words[1][at], 0) if len(words[1]) else np.zeros(len(asked), np.int64)))])
+                yield _rows([(p, 0, block, None, planes(np.where(there, words[1][at], 0) if len(words[1]) else np.zeros(len(asked), np.int64)))])
 
     return run
 
@@ -377,45 +325,48 @@ def _answer(parts: Parts, shared):
 # -- scoring
 
 
-def distinct_keys(texts: list[bytes]) -> np.ndarray:
-    """The distinct keys of all texts, sorted."""
-    held = np.zeros(0, np.uint64)
-    for part in sliced(texts):
-        keys = np.sort(keys_of(part)[0])
-        keys = np.sort(np.concatenate([held, keys[_starts(keys)]]))
-        held = keys[_starts(keys)]
-    return held
+def distinct(arrays: Iterator[np.ndarray]) -> np.ndarray:
+    """The distinct values of all arrays, sorted; they are merged as they come."""
+    held, more, size = np.zeros(0, np.uint64), [], 0
+    for keys in arrays:
+        more.append(_distinct(keys)[0])
+        size += len(more[-1])
+        if size > max(KEYS, len(held)):
+            held, more, size = _distinct(np.concatenate([held, *more]))[0], [], 0
+    return _distinct(np.concatenate([held, *more]))[0] if more else held
 
 
-def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words and their hashes, in the order of the hashes."""
-    words = list({w for t in texts for w in t.lower().split()})
-    hashes = word_hashes(words)
-    order = np.argsort(hashes)
-    return [words[i] for i in order.tolist()], hashes[order]
+def distinct_keys(texts: list[bytes]) -> np.ndarray:
+    return distinct(keys_of(part)[0] for part in sliced(texts))
 
 
 def _ask(parts: Parts):
     def run(group: pa.Table) -> pa.Table:
-        texts = raw_texts(group["text"].combine_chunks())
+        column = group["text"].combine_chunks()
         block = group["block"][0].as_py()
-        keys, words = distinct_keys(texts), distinct_words(texts)[1]
-        rows = [(p, 1, block, pack(k[at]), None) for k, deal in ((keys, parts.of_keys), (words, parts.of_words)) for p, at in _dealt(k, deal(k))]
+        keys, words = distinct_keys(raw_texts(column)), _distinct(word_codes(*text_bytes(column))[0])[0]
+        rows = [(p, 1, block, pack(k[at]), None) for k, deal in ((keys, parts.of_keys), (words, parts.of_words)) for p, at in dealt(k, deal(k))]
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
+def valued(asked: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each of ``asked``; ``keys`` are sorted and hold all of them. Each distinct one is looked up once."""
+    order = np.argsort(asked)
+    ranked = asked[order]
+    first = starts(ranked)
+    found = np.empty(len(asked), values.dtype)
+    found[order] = np.repeat(values[np.searchsorted(keys, ranked[first])], np.diff(np.append(first, len(asked))))
+    return found
+
+
 def sums_of(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each text the sum of the values of its keys; ``keys`` are sorted and hold all of them."""
+    """For each text the sum of the values of its keys."""
     out = []
     for part in sliced(texts):
         own, begin = keys_of(part)
-        order = np.argsort(own)
-        found = np.empty(len(own))
-        first = _starts(own[order])
-        found[order] = np.repeat(values[np.searchsorted(keys, own[order[first]])], np.diff(np.append(first, len(own))))
-        out.append(np.add.reduceat(found, begin[:-1]))
+        out.append(np.add.reduceat(valued(own, keys, values), begin[:-1], dtype=np.float64))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -423,31 +374,29 @@ def _finish(parts: Parts, ends: int, n_all: int, v_all: int):
     denominator = n_all + 0.5 * (v_all + 1)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        raw = raw_texts(texts["text"].combine_chunks())
+        column = texts["text"].combine_chunks()
         given = dict(zip(answers["part"].to_pylist(), answers["counts"].to_pylist()))
 
         def answered(keys, deal, kind):
             out = np.zeros(len(keys), kind)
-            for p, at in _dealt(keys, deal(keys)):
-                out[at] = _unplaned(given[p], len(at), kind)
+            for p, at in dealt(keys, deal(keys)):
+                out[at] = unplaned(given[p], len(at), kind)
             return out
 
+        codes, first = word_codes(*text_bytes(column))
+        words = _distinct(codes)[0]
+        count = valued(codes, words, answered(words, parts.of_words, np.int64))
+        end = np.log10((ends + 0.5) / denominator)
+        sums = lambda x: np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[first])
+        tokens, seen = np.diff(first) + 1, sums((count > 0).astype(np.int64)) + (ends > 0)
+        base = np.array([math.fsum(x) for x in np.split(np.log10((count + 0.5) / denominator), first[1:-1])]) + end
+        del codes, words, count  # before the keys, which take more room
+        raw = raw_texts(column)
         keys = distinct_keys(raw)
         score = sums_of(raw, keys, answered(keys, parts.of_keys, np.float32))
-        words, hashes = distinct_words(raw)
-        count = answered(hashes, parts.of_words, np.int64)
-        value = dict(zip(words, np.log10((count + 0.5) / denominator).tolist()))
-        unknown = {w for w, c in zip(words, count.tolist()) if not c}
-        end = log10((ends + 0.5) / denominator)
-        tokens, seen, base = [], [], []
-        for text in raw:
-            own = text.lower().split()
-            tokens.append(len(own) + 1)
-            seen.append(sum(w not in unknown for w in own) + (ends > 0))
-            base.append(sum(map(value.__getitem__, own)) + end)
-        longs = [pa.array(x, pa.int64()) for x in (tokens, seen, [n_all] * len(raw))]
+        longs = [pa.array(np.asarray(x, np.int64)) for x in (tokens, seen, np.full(len(raw), n_all))]
         return pa.table(
-            [texts["doc_id"].combine_chunks(), *longs, pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+            [texts["doc_id"].combine_chunks(), *longs, pa.array(base), pa.array(score)],
             names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
@@ -469,10 +418,11 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     learnt = train.agg(size.alias("size"), F.count(F.lit(1)).alias("n")).first()
     parts, ends = Parts.of(learnt["size"] or 0), learnt["n"]
     model = stored(counts(train, parts))  # read by the result, so it stays
+    stored.release()
     top, n_words, v_words = levels(np.zeros(0, np.uint64), np.zeros(0, np.int64), TOP, 0), 0, 0
     for row in model.where(F.col("part") == parts.top).toLocalIterator():  # one, of at most 256 ** (TOP + 1) keys
         keys = unpack(row["keys"])
-        top = levels(keys, _unplaned(row["counts"], len(keys), np.int64), TOP, 0)
+        top = levels(keys, unplaned(row["counts"], len(keys), np.int64), TOP, 0)
     tally = model.where(F.col("part").between(parts.contexts, parts.top - 1)).select("keys", "counts").mapInArrow(_tally, "n long, v long")
     known = tally.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_words, v_words = known["n"] or 0, known["v"] or 0
@@ -481,15 +431,15 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     blocks = max(1, ceil(total / BLOCK_TEXT), min(2 * cores, ceil(total / SLICE)))
     block = F.pmod(F.monotonically_increasing_id() + F.xxhash64("text"), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_ask(parts), _COUNTED)
+    blocked = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(blocks, "block")
+    asked = blocked.groupBy("block").applyInArrow(frugal_group(_ask(parts)), _COUNTED)
     both = model.where(F.col("part") < parts.top).unionByName(asked)
-    answers = both.repartition(parts.top, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(parts, shared), _COUNTED)
+    answers = both.repartition(parts.top, "part").sortWithinPartitions("part", "kind").mapInArrow(frugal(_answer(parts, shared)), _COUNTED)
     return (
-        dealt.groupBy("block")
+        blocked.groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(
-            _finish(parts, ends, n_words + ends, v_words + (ends > 0)),
+            frugal_group(_finish(parts, ends, n_words + ends, v_words + (ends > 0))),
             "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )
@@ -499,8 +449,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(occurrences, distinct keys) of each packed row."""
     for batch in batches:
         for keys, counts in zip(batch.column(0), batch.column(1)):
-            v = int.from_bytes(keys.as_py()[:8], "little")
-            yield pa.record_batch([pa.array([int(_unplaned(counts.as_py(), v, np.int64).sum())]), pa.array([v])], ["n", "v"])
+            v = packed_size(keys.as_py())
+            yield pa.record_batch([pa.array([int(unplaned(counts.as_py(), v, np.int64).sum())]), pa.array([v])], ["n", "v"])
 
 
 def held_out(docs: DataFrame) -> DataFrame:
