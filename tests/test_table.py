@@ -4,11 +4,15 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog import cli
+from tidelog.operators import checks, merge
+from tidelog.plans import compaction
 from tidelog.plans.compaction import prune, tombstones_may_go
 from tidelog.plans.manifest import Folder, Manifest, Run
 from tidelog.schema import CommitConflict, CorruptTable, KeyNotFound, StoreClosed
+from tidelog.sources import runs as run_files
 from tidelog.streaming import ingest
 from tidelog.table import Table
 
@@ -159,3 +163,68 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert run("delete", "k") == 0 and run("get", "k") == 1 and run("compact") == 0 and run("bench", "--ops", "100") == 0
     assert b"compaction complete" in capfdbinary.readouterr().out
     assert Folder(spark, str(tmp_path / "t")).size("") > 0
+
+
+def test_bottom_level_is_merged_and_tombstones_end_there(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "FANOUT", {0: 2, 1: 2, 2: 2})
+    t, model = Table(spark, str(tmp_path / "t"), "tiered"), {}
+    for i in range(16):
+        t.set_batch([(b"k%d" % (i % 5), b"v%d" % i), (b"x%d" % i, b"")])
+        model |= {b"k%d" % (i % 5): b"v%d" % i, b"x%d" % i: b""}
+        if i % 4 == 3:
+            t.delete(b"x%d" % i)
+            del model[b"x%d" % i]
+    assert state(t) == model and not any(t.check().values())
+    assert sum(r.level == 2 for r in t.runs) <= 1
+    t.compact()
+    bottom = [r for r in t.runs if r.level == 2]
+    assert len(bottom) == 1 and bottom[0].tombstones == 0
+
+
+def test_multi_get_of_any_number_of_keys(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path / "t"), "snapshot")
+    t.set_batch([(b"k%03d" % i, b"a") for i in range(0, 200, 2)])
+    t.set_batch([(b"k%03d" % i, b"b") for i in range(0, 50)])
+    t.delete("k004")
+    model = state(t)
+    for asked in ([], [b"k002"], [b"k001", b"k004", b"k199", b"k002", b"k002", b"zzz", b""], [b"k%03d" % i for i in range(0, 200, 3)], [None, b"k000"], [None]):
+        keys = spark.createDataFrame([(None if k is None else bytearray(k), i) for i, k in enumerate(asked)], "key binary, place int")
+        for most in (32 << 20, 0):
+            monkeypatch.setattr("tidelog.table.ASKED_BYTES", most)
+            got = {r["place"]: (None if r["value"] is None else bytes(r["value"]), r["found"]) for r in t.multi_get(keys).collect()}
+            assert got == {i: (model.get(k), k in model) for i, k in enumerate(asked)}
+
+
+def test_a_batch_is_computed_once_and_written_in_one_shuffle(spark, tmp_path):
+    t, seen = Table(spark, str(tmp_path / "t"), "snapshot"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000, numPartitions=4).select(F.format_string("k%05d", "id").cast("binary").alias("key"), F.lit(b"v").alias("value"))
+    t.set_batch(rows.mapInArrow(counted, "key binary, value binary"))
+    assert seen.value == 1000 and t.count() == 1000
+    assert t.stats()["logical"] == 1000 * 7 and t.runs[0].rows == 1000
+    plan = merge.merge([run_files.by_range(t.operations(), 3)], True).sortWithinPartitions("key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_files_out_of_order_are_told(spark, tmp_path):
+    rows = lambda *ks: spark.createDataFrame([(bytearray(k),) for k in ks], "key binary").coalesce(1)
+    count = lambda disjoint: {r["check_name"]: r["violations"] for r in checks.file_report(spark, str(tmp_path / "r"), disjoint).collect()}
+    rows(b"a", b"c").write.parquet(str(tmp_path / "r"))
+    rows(b"d", b"e").write.mode("append").parquet(str(tmp_path / "r"))
+    assert count(True) == {"unsorted_keys": 0, "overlapping_files": 0}
+    rows(b"b", b"b", b"a").write.mode("append").parquet(str(tmp_path / "r"))
+    assert count(True) == {"unsorted_keys": 2, "overlapping_files": 1} and count(False)["overlapping_files"] == 0
+
+
+def test_usage_and_workloads(spark, tmp_path, capfd):
+    assert cli.main([], spark) == 1 and cli.main(["--dir", str(tmp_path), "frobnicate"], spark) == 1
+    assert "usage" in capfd.readouterr().err
+    keys = [bytes(r["key"]) for r in cli.random_keys(spark, 500).collect()]
+    assert len(set(keys)) == 500 and {len(k) for k in keys} == {16}
+    assert sorted(keys) == sorted(bytes(r["key"]) for r in cli.random_keys(spark, 500).repartition(3).collect())
+    assert keys != [bytes(r["key"]) for r in cli.random_keys(spark, 500, seed=7).collect()]
