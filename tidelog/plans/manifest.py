@@ -122,7 +122,9 @@ class Folder:
             stream.close()
 
     def stream(self, pieces: Iterable[bytes]) -> None:
-        """Write the file that this folder's path names, from pieces. It has a temporary name until it is durable."""
+        """Write the new file that this folder's path names, from pieces. It has a temporary name until it is durable."""
+        if self.fs.exists(self.path("")):
+            raise CommitConflict(f"{self.root} is taken")
         part = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}.{uuid.uuid4().hex}.tmp")
         out = self.fs.create(part, False)
         held = bytearray()
