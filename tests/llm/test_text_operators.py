@@ -409,7 +409,8 @@ def brute_log10(counts, kept, text):
             own = counts.get(x[i - d : i], {})
             if x[i - d : i] not in kept:
                 break
-            p = (own.get(x[i], 0) + len(own) * p) / (sum(own.values()) + len(own))
+            weight = pst_lm.SUFFIX * len(own)
+            p = (own.get(x[i], 0) + weight * p) / (sum(own.values()) + weight)
         total += np.log10(p)
     return total
 

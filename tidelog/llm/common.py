@@ -58,7 +58,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stored:
-    """Intermediate results as compressed tables in the shared folder; they outlive lost executors.
+    """Intermediate results as compressed tables in the shared folder; they outlive lost executors, and what is not
+    dropped goes when the session ends.
 
     After each, shuffles of finished steps are let go: Spark drops them once the driver's objects that
     refer to them are collected, which would else happen some time later.
@@ -70,6 +71,8 @@ class Stored:
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        target, files = self._at(path)
+        files.deleteOnExit(target)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         del df
@@ -83,9 +86,12 @@ class Stored:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for t in tables:
-            _, path = self.paths.pop(id(t))
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            target, files = self._at(self.paths.pop(id(t))[1])
+            files.delete(target, True)
+
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 def crc_remainder(column: str, modulus: int) -> F.Column:
