@@ -108,7 +108,8 @@ class Table:
         if "ord" not in ops.columns:
             ops = ops.withColumn("ord", F.lit(0))
         seen = Observation()
-        # the caller's rows are computed once: counted on their way to the shuffle by key, which AQE sizes by bytes
+        # the caller's rows are computed once: counted on their way to the shuffle by key, which AQE sizes by bytes. If a
+        # lost executor's part is computed again it is counted again; these bytes are for reports
         ops = canonical(ops.withColumn("seq", F.lit(base.next_seq))).observe(seen, *spent())
         run = run_files.write(lww.latest(ops), self.folder, self._name(), 0)
         if run is None and not stream:
