@@ -36,8 +36,8 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 LETTERS = regex.compile(r"\p{L}+")
 #: Words in the lexicon.
 LEXICON = 1 << 16
-#: Words a worker counts or remembers before it hands them on or forgets them.
-HELD = 200_000
+#: Words a worker counts before it hands them on, and remembers before it forgets them.
+HELD, REMEMBERED = 200_000, 400_000
 #: Characters of texts whose unseen words are looked up together.
 TOGETHER = 1 << 20
 #: Above every rank.
@@ -231,7 +231,7 @@ class Lexicon:
 
 
 class Known(dict):
-    """Ids by word: remembered, else from the lexicon, else merged. It forgets all after HELD words."""
+    """Ids by word: remembered, else from the lexicon, else merged. It forgets all after REMEMBERED words."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
@@ -265,7 +265,7 @@ class Known(dict):
                 cuts.append(self.cut(texts[at]))
                 at += 1
             new = set().union(*cuts).difference(self)
-            if len(new) + len(self) > HELD:
+            if len(new) + len(self) > REMEMBERED:
                 self.clear()
                 new = set().union(*cuts)
             for token in [w for w in new if isinstance(w, int)]:
