@@ -33,9 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of near copies, the document of the smallest id; of repeated rows, one. A row without
     an id stays unless it equals a kept one in all columns. Near copies are verified by their shingle sets."""
     found = simhash.similar_texts(docs, SHINGLE, SIMILARITY, BITS, DISTANCE)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))  # ids may repeat with other texts
-    return docs.join(dropped.distinct(), same, "left_anti").select(*docs.columns).dropDuplicates()
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("text_hash").alias("_hash")).distinct()
+    # one shuffle of the texts serves both: by id and text, as ids may repeat with other texts; then equal rows by hashes
+    row = F.xxhash64(F.lit("row"), *docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    keyed = docs.withColumns({"_hash": F.xxhash64("text"), "_row": row})
+    kept = keyed.join(dropped, ["doc_id", "_hash"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "_hash", "_row"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
