@@ -135,3 +135,6 @@ def test_rows_go_by_their_text(spark):
     base = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, base), (2, base), (2, clean)]], columns)
     assert rows(cp.near_duplicates(spark, df, SF), "doc_id", "text") == sorted([(1, base), (2, clean)], key=repr)
+    rest = [(None, "x", 1), ("x", None, 1), ("x", "y", 1), ("x", "y", 1)]  # rows differ in where the null is
+    df = spark.createDataFrame([(1, base, *r) for r in rest], columns)
+    assert rows(cp.near_duplicates(spark, df, SF), "lang", "source") == sorted({r[:2] for r in rest}, key=repr)
