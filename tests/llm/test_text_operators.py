@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tidelog.llm import bpe, chat, decontam, pst_lm, queries, rules, sharding, simhash, suffix_dedup
@@ -237,6 +238,34 @@ def test_suffix_array_and_prefixes():
         assert suffix_dedup.common_prefixes(s, sa).tolist() == want
 
 
+def test_a_shard_sorts_only_what_others_may_share(monkeypatch):
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.choice([0, 1, 32, 255], n).astype(np.uint8).tobytes()
+    runs = [some(n) for n in (70, 150, 199, 200, 260, 700)]
+    texts = [b"".join(some(int(rng.integers(20, 300))) + runs[k][int(rng.integers(0, 9)) :] for k in rng.permutation(6)) for _ in range(12)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    of, at, begins, anchor = suffix_dedup.regions(np.frombuffer(b"".join(texts), np.uint8), bounds, 200)
+    by_anchor, first = {}, {}
+    for t, lo, n, a in zip(of.tolist(), (at - bounds[of]).tolist(), begins.tolist(), anchor.view(np.int64).tolist()):
+        by_anchor.setdefault(a, {}).setdefault(texts[t][lo : lo + n + 199], []).append((t, lo, n))
+    shard, gone = [], [np.zeros(len(t), bool) for t in texts]
+    for a, found in by_anchor.items():
+        for piece, where in found.items():
+            for t, lo, _ in where if len(where) > 1 else []:  # a region that occurs again
+                gone[t][lo : lo + len(piece)] = True
+            if len(found) > 1:
+                t, lo, n = where[0]
+                shard.append({"h1": t, "h2": 0, "first": lo, "begins": n, "occurs": len(where), "cut": False, "anchor": a, "piece": piece})
+    sorted_bytes = []
+    known = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: sorted_bytes.append(len(s)) or known(s))
+    for r in suffix_dedup._in_shard(200, 1)(pa.Table.from_pylist(shard)).to_pylist():
+        gone[r["h1"]][r["lo"] : r["hi"]] = True
+    assert all((a == b).all() for a, b in zip(gone, brute_repeats(texts, 200)))
+    assert any(g.any() and not g.all() for g in gone)
+    assert 0 < sum(sorted_bytes) < sum(len(r["piece"]) for r in shard) / 2
+
+
 # -- benchmark
 
 

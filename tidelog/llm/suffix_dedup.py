@@ -12,6 +12,7 @@ which are merged by binary search.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from math import ceil
 
 import numpy as np
@@ -65,16 +66,19 @@ def regions(data: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarra
     h = run_hashes(data)
     place = np.arange(len(h), dtype=np.uint64)
     low = lowest((h & ~np.uint64((1 << 24) - 1)) | place, width)  # equal hashes: the first is taken
-    begins = np.diff(bounds) - least + 1
-    texts = np.flatnonzero(begins > 0)
+    stop = bounds[1:] - least + 1  # behind a text's last begin
+    texts = np.flatnonzero(stop > bounds[:-1])
     if not len(texts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    size = begins[texts]
-    of = np.repeat(texts, size)
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[texts], size)
+    turn = np.flatnonzero(low[1:] != low[:-1]) + 1
+    of = np.searchsorted(bounds, turn, "right") - 1
+    inner = (turn > bounds[of]) & (turn < stop[of])
+    of, at = np.concatenate([texts, of[inner]]), np.concatenate([bounds[texts], turn[inner]])
+    order = np.argsort(at)
+    of, at = of[order], at[order]
+    last = np.append(of[1:] != of[:-1], True)
     anchor = (low[at] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])]))
-    return of[new], at[new], np.diff(np.append(new, len(at))), h[anchor[new]]
+    return of, at, np.where(last, stop[of], np.append(at[1:], 0)) - at, h[anchor]
 
 
 def _parts(texts: list[bytes], least: int):
@@ -284,6 +288,45 @@ def repeated_begins(parts: list[bytes], least: int) -> tuple[np.ndarray, np.ndar
     return repeated & inside, later & inside
 
 
+def _shared(anchors: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, reach: int) -> np.ndarray:
+    """For each of several pieces of ``data``, how many of its ``size`` bytes from ``start`` on, ``reach`` at most, the
+    piece with the same anchor most like it shares; -1 if no other piece has the anchor."""
+    if len(anchors) < 2:
+        return np.full(len(anchors), -1)
+    step = np.arange(reach)
+    rows = np.zeros((len(anchors), 8 + reach), np.uint8)
+    rows[:, :8] = anchors.astype(">i8").view(np.uint8).reshape(-1, 8)
+    rows[:, 8:] = np.where(step < size[:, None], data[np.minimum(start[:, None] + step, len(data) - 1)], 0)
+    order = np.argsort(rows.view(f"S{8 + reach}").ravel())
+    rows = rows[order]
+    unlike = rows[1:] != rows[:-1]
+    like = np.where(unlike.any(axis=1), unlike.argmax(axis=1), 8 + reach) - 8  # in order, the most alike are side by side
+    most = np.empty(len(anchors), np.int64)
+    most[order] = np.maximum(np.append(like, -1), np.append(-1, like))
+    return np.where(most < 0, -1, np.minimum(most, size))
+
+
+def trimmed(anchors: np.ndarray, pieces: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each region's piece, the stretch outside which no string occurs in another piece; empty if none can.
+
+    Equal strings have their common anchor at the same place. So a string occurs in another piece only if the bytes
+    before the anchor agree with those of a piece of the same anchor, and so do those after it.
+    """
+    size = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    begin = np.cumsum(size) - size
+    # a piece's anchor is the first run of its hash, as of equal runs the first is taken
+    h = np.append(run_hashes(data), np.zeros(ANCHOR - 1, np.uint64))
+    found = np.flatnonzero(h == np.repeat(anchors.view(np.uint64), size))
+    place = found[np.searchsorted(found, begin)]
+    reach = least - ANCHOR
+    after = _shared(anchors, data, place + ANCHOR, begin + size - place - ANCHOR, reach)
+    before = _shared(anchors, data[::-1], len(data) - place, place - begin, reach)
+    ok = (after >= 0) & (before + ANCHOR + after >= least)
+    lo = place - begin - before
+    return np.where(ok, lo, 0), np.where(ok, lo + before + ANCHOR + after, 0)
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return edge[::2], edge[1::2]
@@ -296,10 +339,29 @@ def _in_shard(least: int, ranges: int):
     """The suffix array of one shard: spans repeated in it, and digests of strings of anchors that were cut."""
     cuts = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
 
+    digest = xxhash.xxh3_128_digest
+
     def run(group: pa.Table) -> pa.Table:
         rows = list(zip(*(group[c].to_pylist() for c in ("h1", "h2", "first", "begins", "occurs", "cut", "piece"))))
-        repeated, later = repeated_begins([r[6] for r in rows], least)
         spans, hashes, refs = [], [], []
+        here = [i for i, r in enumerate(rows) if not r[5]]  # all regions of their anchors are in this shard
+        if here:
+            anchors = group["anchor"].to_numpy()[here]
+            lo, hi = trimmed(anchors, [rows[i][6] for i in here], least)
+            like: dict[bytes, list[tuple]] = {}
+            for i, anchor, a, b in zip(here, anchors.tolist(), lo.tolist(), hi.tolist()):
+                if b > a:
+                    h1, h2, first, _, occurs, _, piece = rows[i]
+                    like.setdefault(piece[a:b], []).append((anchor, h1, h2, first + a, occurs))
+            kinds = Counter(found[0][0] for found in like.values())
+            rows = [r for r in rows if r[5]]
+            for piece, found in like.items():
+                if len(found) > 1:  # equal stretches are repeats as a whole
+                    spans += [(h1, h2, first, first + len(piece)) for _, h1, h2, first, occurs in found if occurs == 1]
+                anchor, h1, h2, first, occurs = found[0]
+                if kinds[anchor] > 1:  # others may share a part
+                    rows.append((h1, h2, first, len(piece) - least + 1, max(occurs, len(found)), False, piece))
+        repeated, later = repeated_begins([r[6] for r in rows], least) if rows else (None, None)
         at = 0
         for h1, h2, first, begins, occurs, cut, piece in rows:
             own = repeated[at : at + begins]
@@ -307,9 +369,11 @@ def _in_shard(least: int, ranges: int):
                 spans += [(h1, h2, first + a, first + b - 1 + least) for a, b in zip(*(x.tolist() for x in _runs(own)))]
             if cut:
                 view = memoryview(piece)
-                for k in np.flatnonzero(~later[at : at + begins]).tolist():
-                    hashes.append(xxhash.xxh3_128_digest(view[k : k + least]))
-                    refs.append((h1, h2, first + k if occurs == 1 and not own[k] else -1))
+                k = np.flatnonzero(~later[at : at + begins])
+                hashes += [digest(view[i : i + least]) for i in k.tolist()]
+                ref = np.empty((len(k), 3), np.int64)
+                ref[:, 0], ref[:, 1], ref[:, 2] = h1, h2, np.where(own[k], -1, first + k) if occurs == 1 else -1
+                refs.append(ref)
             at += len(piece) + 1
         out = {c: [x[i] for x in spans] for i, c in enumerate(("h1", "h2", "lo", "hi"))}
         n = len(spans)
@@ -317,7 +381,7 @@ def _in_shard(least: int, ranges: int):
         if hashes:
             high = np.frombuffer(b"".join(hashes), ">u8").reshape(-1, 2).astype(np.uint64)
             order = np.lexsort((high[:, 1], high[:, 0]))
-            high, ref = high[order], np.array(refs, np.int64)[order]
+            high, ref = high[order], np.concatenate(refs)[order]
             edge = [0, *np.searchsorted(high[:, 0], cuts).tolist(), len(high)]
             slices = [
                 (k, high[a:b].tobytes(), ref[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a
