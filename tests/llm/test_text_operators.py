@@ -444,6 +444,30 @@ def brute_log10(counts, kept, text):
     return total
 
 
+def test_keys_hold_each_symbol_and_what_is_before_it():
+    texts = [b"", b" A\xc3\xa9 b\x00 ", b"\xff" * 20, b"", b"x"]
+    keys, begin = pst_lm.keys_of(texts)
+    want = []
+    for t in texts:
+        x = pst_lm.normalised(t)
+        want.append([int.from_bytes(x[i - pst_lm.DEPTH : i][::-1] + x[i : i + 1], "big") for i in range(pst_lm.DEPTH, len(x))])
+    assert [keys[a:b].tolist() for a, b in zip(begin, begin[1:])] == want and begin[-1] == len(keys)
+    assert [len(x) for x in pst_lm.keys_of([])] == [0, 1]
+
+
+def test_a_context_is_searched_once_for_all_its_symbols(monkeypatch):
+    pairs = np.sort(np.concatenate([c << 8 | np.arange(200) for c in (3, 5, 9)]).astype(np.uint64))
+    level = pst_lm.Level.of(pairs, np.arange(1, 601))
+    asked = np.concatenate([pairs, np.uint64(7) << np.uint64(8) | np.arange(200, dtype=np.uint64)])
+    known, searched = pst_lm._at, []
+    monkeypatch.setattr(pst_lm, "_at", lambda values, x: searched.append(len(x)) or known(values, x))
+    p, inside = level.mixed(asked, np.full(800, 0.25))
+    assert sum(searched) == 800 + 4
+    assert inside.tolist() == [True] * 600 + [False] * 200 and (p[600:] == 0.25).all()
+    weight = pst_lm.SUFFIX * 200
+    assert np.allclose(p[:200], (np.arange(1, 201) + weight * 0.25) / (200 * 201 / 2 + weight))
+
+
 def test_packed_keys():
     rng = np.random.default_rng(8)
     for n in (0, 1, 1000):

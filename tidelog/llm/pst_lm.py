@@ -51,15 +51,16 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sorted keys are sorted by every shorter context too. And where each text's symbols begin (n + 1 offsets)."""
     packed = [normalised(t) for t in texts]
     size = np.array([len(p) for p in packed], np.int64)
-    raw = np.frombuffer(b"".join(packed), np.uint8)
-    key = raw.astype(np.uint64)
-    wide = key.copy()
-    for k in range(1, DEPTH + 1):
-        key[k:] |= wide[:-k] << np.uint64(8 * (DEPTH + 1 - k))
+    raw = b"\n" * (8 - DEPTH) + b"".join(packed)
+    # eight bytes read as a little-endian number have the last one highest: what stands before each byte from DEPTH on
+    before = np.ndarray(max(0, len(raw) - 8), "<u8", raw, strides=(1,))
+    key = before >> np.uint64(8 * (7 - DEPTH))
+    key &= ~np.uint64(255)
+    key |= np.frombuffer(raw, np.uint8)[8:]
     begin = np.cumsum(size) - size
-    symbol = np.ones(len(raw), bool)
-    for k in range(DEPTH):
-        symbol[begin + k] = False
+    symbol = np.ones(len(key), bool)
+    for k in range(DEPTH):  # of the texts after the first, whose context is not in key
+        symbol[begin[1:] + k - DEPTH] = False
     return key[symbol], np.concatenate([[0], np.cumsum(size - DEPTH)])
 
 
@@ -85,6 +86,11 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _spread(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """A value for each of runs that begin at ``first``, for all ``n`` places."""
+    return np.repeat(values, np.diff(np.append(first, n)))
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each is there."""
     keys = np.sort(keys)
@@ -242,10 +248,12 @@ class Level:
     def mixed(self, pairs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probabilities, which contexts are here): a context's counts are mixed with the probabilities ``p`` of its
         suffix in the share of SUFFIX times its distinct next bytes to its count."""
-        at, inside = _at(self.contexts, pairs >> np.uint64(8))
-        to, there = _at(self.pairs, pairs)
         if not len(self.contexts):
-            return p, inside
+            return p, np.zeros(len(pairs), bool)
+        context = pairs >> np.uint64(8)
+        first = starts(context)  # equal contexts are mostly side by side
+        at, inside = (_spread(x, first, len(pairs)) for x in _at(self.contexts, context[first]))
+        to, there = _at(self.pairs, pairs)
         n = np.where(there, self.counts[to], 0) if len(self.counts) else 0
         weight = SUFFIX * self.kinds[at]
         return np.where(inside, (n + weight * p) / (self.totals[at] + weight), p), inside
@@ -275,8 +283,8 @@ def prune(found: list[Level], above: Level) -> list[Level]:
         context = np.repeat(np.arange(len(level.contexts)), level.kinds)
         short = level.pairs >> np.uint64(16) << np.uint64(8) | level.pairs & np.uint64(255)
         to, _ = _at(up.pairs, short)  # it is there: a pair's own bytes are counted for its suffix too
-        parent, _ = _at(up.contexts, short >> np.uint64(8))
-        p_up = up.counts[to] / (up.totals[parent] + up.kinds[parent])
+        parent, _ = _at(up.contexts, level.contexts >> np.uint64(8))
+        p_up = up.counts[to] / (up.totals[parent] + up.kinds[parent])[context]
         gain = np.bincount(context, level.counts * np.log(level.counts / level.totals[context] / p_up), len(level.contexts))
         keep.append(gain >= GAIN)
     for d in range(len(found) - 1, 0, -1):
@@ -393,7 +401,7 @@ def _finish(parts: Parts, ends: int, n_all: int, v_all: int):
         end = np.log10((ends + 0.5) / denominator)
         sums = lambda x: np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[first])
         tokens, seen = np.diff(first) + 1, sums((count > 0).astype(np.int64)) + (ends > 0)
-        base = np.array([math.fsum(x) for x in np.split(np.log10((count + 0.5) / denominator), first[1:-1])]) + end
+        base = np.array([math.fsum(x.tolist()) for x in np.split(np.log10((count + 0.5) / denominator), first[1:-1])]) + end
         del codes, words, count  # before the keys, which take more room
         raw = raw_texts(column)
         keys = distinct_keys(raw)
