@@ -6,10 +6,11 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tidelog.functions import accounting, hashing
 from tidelog.operators import checks, lww, merge, read
-from tidelog.schema import DELETE, OPS, SET, CorruptTable, canonical
+from tidelog.schema import DELETE, OPS, SET, CommitConflict, CorruptTable, canonical
 from tidelog.sources import interop
 
 
@@ -124,6 +125,68 @@ def test_segments_of_a_log_have_one_order(spark, tmp_path):
     assert (tmp_path / "own").read_bytes() == first
 
 
+def forbid_driver(monkeypatch):
+    """No rows of a table come to the driver's Python, but one of totals, and no file's bytes."""
+    collect = DataFrame.collect
+
+    def refuse(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    def one(df):
+        assert len(rows := collect(df)) < 2
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", one)
+    for name in ("toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    monkeypatch.setattr("tidelog.plans.manifest.Folder.stream", refuse)
+    monkeypatch.setattr("tidelog.plans.manifest.Folder.chunks", refuse)
+
+
+def awkward_log(n=2000):
+    """Operations whose records have newlines anywhere, at their ends too, or nowhere, in falling order."""
+    rng, rows = random.Random(5), []
+    for i in range(n):
+        key = rng.choice([b"", b"\n", b"k%d\n" % (i % 90), b"k%010d" % (i % 90), b"\xff\x00"])
+        rows.append((i // 10, i % 10, DELETE, key, None) if i % 7 == 0 else (i // 10, i % 10, SET, key, rng.choice([b"", b"\n", b"\n\n", b"v%d" % i, b"\xff\n\x80" * 9, b"x" * 5000])))
+    return rows
+
+
+def test_executors_write_a_log(spark, tmp_path, monkeypatch):
+    rows = awkward_log()
+    raw = b"".join(record(op, k, v or b"") for _, _, op, k, v in rows)
+    ops = ops_of(spark, rows[::-1]).repartition(3)
+    want = sorted(pairs(lww.visible(ops)))
+    monkeypatch.setattr(interop, "SEGMENT_BYTES", len(raw) // 5, raising=False)
+    with monkeypatch.context() as m:
+        forbid_driver(m)
+        interop.write_log(ops, str(tmp_path / "one"))
+        names = interop.write_segments(ops, str(tmp_path / "log"), "s-")
+        assert interop.write_segments(ops.where("false"), str(tmp_path / "none")) == []
+        interop.write_log(ops.where("false"), str(tmp_path / "empty"))
+    assert (tmp_path / "one").read_bytes() == raw and (tmp_path / "empty").read_bytes() == b""
+    files = sorted(p for p in (tmp_path / "log").iterdir() if not p.name.startswith("."))
+    assert len(files) > 2 and [p.name for p in files] == [n.rpartition("/")[2] for n in names]
+    assert b"".join(p.read_bytes() for p in files) == raw
+    for path in ("one", "log"):
+        assert sorted(pairs(lww.visible(interop.read_log(spark, str(tmp_path / path))))) == want, path
+    assert interop.read_log(spark, str(tmp_path / "none")).count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["empty", "log", "none", "one"]  # nothing temporary is left
+    with pytest.raises(CommitConflict):
+        interop.write_log(ops, str(tmp_path / "one"))
+
+
+def test_executors_write_a_snapshot_file(spark, tmp_path, monkeypatch):
+    want = [(b"k%05d" % i, b"v%d\n" % i) for i in range(1000)]
+    view = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in want[::-1]], "key binary, value binary").repartition(3)
+    with monkeypatch.context() as m:
+        forbid_driver(m)
+        interop.export_snapshot(view, str(tmp_path / "one"))
+    body = b"SNAPSHOT v2\n" + b"".join(k.hex().encode() + b"\t" + v.hex().encode() + b"\n" for k, v in want)
+    assert (tmp_path / "one").read_bytes() == body + b"CHECKSUM %d\n" % zlib.crc32(body)
+    assert sorted(pairs(interop.read_snapshot(spark, str(tmp_path / "one")))) == want
+
+
 def test_snapshot_text(spark, tmp_path):
     want = [(b"", b"x"), (b"\t\n", b""), (b"k", b"\xff" * 100_000)]
     view = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in want], "key binary, value binary")

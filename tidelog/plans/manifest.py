@@ -8,12 +8,13 @@ its number of runs; one that fails them is an error, never an empty table, and n
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
@@ -121,24 +122,61 @@ class Folder:
         finally:
             stream.close()
 
-    def stream(self, pieces: Iterable[bytes]) -> None:
-        """Write the new file that this folder's path names, from pieces. It has a temporary name until it is durable."""
+    def beside(self) -> str:
+        """The path of a new temporary file or folder next to this folder's path; readers of folders pass over its name."""
+        top, _, name = self.root.rpartition("/")
+        return f"{top}/.{name}.{uuid.uuid4().hex}.tmp"
+
+    def free(self) -> None:
         if self.fs.exists(self.path("")):
             raise CommitConflict(f"{self.root} is taken")
-        part = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}.{uuid.uuid4().hex}.tmp")
+
+    @contextlib.contextmanager
+    def _new(self) -> Iterator:
+        """An output stream of the new file that this folder's path names. It has a temporary name until it is durable."""
+        self.free()
+        part = self.jvm.org.apache.hadoop.fs.Path(self.beside())
         out = self.fs.create(part, False)
-        held = bytearray()
-        for piece in pieces:
-            held += piece
-            if len(held) >= 1 << 20:
-                out.write(held)
-                held = bytearray()
-        out.write(held)
-        out.hsync()
-        out.close()
-        if not self.fs.rename(part, self.path("")):
+        try:
+            yield out
+            out.hsync()
+            out.close()
+            if not self.fs.rename(part, self.path("")):
+                raise CommitConflict(f"{self.root} is taken")
+        except BaseException:
+            out.close()
             self.fs.delete(part, False)
-            raise CommitConflict(f"{self.root} is taken")
+            raise
+
+    def stream(self, pieces: Iterable[bytes]) -> None:
+        """Write the new file that this folder's path names, from pieces."""
+        with self._new() as out:
+            held = bytearray()
+            for piece in pieces:
+                held += piece
+                if len(held) >= 1 << 20:
+                    out.write(held)
+                    held = bytearray()
+            out.write(held)
+
+    def join(self, files: Iterable[tuple[str, int]], head: bytes = b"", seal: Callable[[int], bytes] | None = None) -> None:
+        """Write the new file that this folder's path names: ``head``, then so many first bytes of each of ``files``, then
+        what ``seal`` makes of the CRC-32 of all that. The driver's JVM copies them a buffer at a time; none of them comes
+        to Python."""
+        crc = self.jvm.java.util.zip.CRC32()
+        with self._new() as out:
+            checked = self.jvm.java.util.zip.CheckedOutputStream(out, crc)
+            checked.write(bytearray(head))
+            for name, size in files:
+                source = self.fs.open(self.jvm.org.apache.hadoop.fs.Path(name))
+                try:
+                    if self.jvm.org.apache.commons.io.IOUtils.copyLarge(source, checked, 0, size) != size:
+                        raise CorruptTable(f"{name} is shorter than it was")
+                finally:
+                    source.close()
+            if seal:
+                checked.write(bytearray(seal(crc.getValue())))
+            checked.flush()
 
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self.path(name)).getLength()

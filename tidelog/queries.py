@@ -524,9 +524,9 @@ def stream_ingest(spark, sf_dir):
 
 @query(VISIBLE_SQL)
 def log_replay(spark, sf_dir):
-    """The log as framed binary records in a file, and back."""
+    """The log as framed binary records in segments, and back."""
     path = f"{shared_folder(spark)}/log"
-    interop.write_log(log(spark, sf_dir), path)
+    interop.write_segments(log(spark, sf_dir), path)
     return text(lww.visible(interop.read_log(spark, path)))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ HEADER = "SNAPSHOT v2"
 SEAL = "_SNAPSHOT"
 #: Records of a log that travel together; and bits of a sequence number for the offset in its segment.
 TOGETHER, OFFSET_BITS = 1 << 16, 40
+#: Bytes of a segment, which a task holds as a whole when it reads it.
+SEGMENT_BYTES = 16 << 20
 
 
 def parse_log(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
@@ -96,13 +101,67 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return content(files).mapInArrow(run, schema)
 
 
-def write_log(ops: DataFrame, path: str) -> None:
-    """One segment of framed records, in order of (seq, ord), as a new file. The records are framed by Spark and come
-    one partition at a time; a file of one stream has one writer."""
-    from ..functions.hashing import framed
+@contextlib.contextmanager
+def _staged(lines: DataFrame, folder: Folder, extra: int = 0) -> Iterator[list[tuple[str, int]]]:
+    """(file, bytes) in order of partitions, of lines that executors have written next to the path of ``folder``; the
+    files go at the end. ``extra`` bytes at each file's end are not counted."""
+    top = Folder(lines.sparkSession, folder.beside())
+    try:
+        lines.write.options(compression="none", lineSep="\n", maxRecordsPerFile="0").text(top.root)
+        found = [(s.getPath(), s.getLen()) for s in top.fs.listStatus(top.path(""))]
+        parts = [(int(m[1]), p.toString(), n - extra) for p, n in found if n and (m := re.match(r"part-(\d+)", p.getName()))]
+        yield [(p, n) for _, p, n in sorted(parts)]
+    finally:
+        top.delete("")
+
+
+def _frames(ops: DataFrame) -> DataFrame:
+    """Framed records as lines for the text writer, in order of (seq, ord), a file's worth of SEGMENT_BYTES or so in each
+    partition.
 
+    The writer puts a newline behind each line. Lines end where the records have that byte, so it is one of theirs,
+    but for the last line of a partition, which makes its file one byte longer than its records."""
+    from ..functions import accounting, hashing
+
+    size = accounting.written(ops).first()["log_bytes"]
+    dealt = ops.repartitionByRange(max(1, ceil(size / SEGMENT_BYTES)), "seq", "ord").sortWithinPartitions("seq", "ord")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda raw: pa.record_batch([pa.array([raw], pa.binary())], ["line"])
+        held, any_rows = [], False
+        for batch in batches:
+            any_rows = any_rows or batch.num_rows > 0
+            whole, newline, rest = b"".join(batch.column(0).to_pylist()).rpartition(b"\n")
+            if newline:
+                yield line(b"".join([*held, whole]))
+                held = []
+            held.append(rest)
+        if any_rows:
+            yield line(b"".join(held))
+
+    return dealt.select(hashing.framed().alias("frame")).mapInArrow(cut, "line binary").select(F.col("line").cast("string"))
+
+
+def write_log(ops: DataFrame, path: str) -> None:
+    """One segment of framed records, in order of (seq, ord), as a new file. Executors frame and write them in parts, which
+    the driver's JVM copies behind each other, as a file has one writer; no record is sent to the driver."""
     folder = Folder(ops.sparkSession, path)
-    folder.stream((bytes(r["frame"]) for r in ops.orderBy("seq", "ord").select(framed().alias("frame")).toLocalIterator()))
+    folder.free()
+    with _staged(_frames(ops), folder, 1) as files:
+        folder.join(files)
+
+
+def write_segments(ops: DataFrame, path: str, prefix: str = "") -> list[str]:
+    """The same as segments of about SEGMENT_BYTES, which read_log reads in as many tasks: the new files' paths, named by
+    ``prefix`` and their place in the folder ``path``. They appear in order, so a log that was not finished is a prefix."""
+    top = Folder(ops.sparkSession, path)
+    top.make()
+    names = []
+    with _staged(_frames(ops), Folder(ops.sparkSession, f"{top.root}/{prefix}"), 1) as files:
+        for i, file in enumerate(files):
+            names.append(f"{top.root}/{prefix}{i:09d}")
+            Folder(ops.sparkSession, names[-1]).join([file])
+    return names
 
 
 def hex_lines(view: DataFrame) -> DataFrame:
@@ -126,20 +185,11 @@ def write_snapshot(view: DataFrame, path: str) -> None:
 
 def export_snapshot(view: DataFrame, path: str) -> None:
     """The same as one file: a header, the lines in key order, and the CRC-32 of all before it. It takes its name when it
-    is whole. Lines come one partition at a time, as a file of one stream has one writer."""
-
-    def lines() -> Iterator[bytes]:
-        crc = 0
-        for raw in [f"{HEADER}\n".encode()]:
-            crc = zlib.crc32(raw)
-            yield raw
-        for row in hex_lines(view.orderBy("key")).toLocalIterator():
-            raw = f"{row['line']}\n".encode()
-            crc = zlib.crc32(raw, crc)
-            yield raw
-        yield f"CHECKSUM {crc}\n".encode()
-
-    Folder(view.sparkSession, path).stream(lines())
+    is whole. Executors write the lines in parts, which the driver's JVM copies behind each other."""
+    folder = Folder(view.sparkSession, path)
+    folder.free()
+    with _staged(hex_lines(view.orderBy("key")), folder) as files:
+        folder.join(files, f"{HEADER}\n".encode(), lambda crc: f"CHECKSUM {crc}\n".encode())
 
 
 def _pairs(lines: DataFrame) -> DataFrame:
