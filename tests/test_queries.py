@@ -36,3 +36,16 @@ def test_query(spark, duck, name):
     assert rows_of([r[c] for c in order] for r in got) == rows_of([r[i] for i in at] for r in want.fetchall())
     if name == "bloom_might_contain":
         assert all(r["might_contain"] for r in got if r["present"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["log_replay", "log_segments_replay"])
+def test_no_log_comes_to_the_driver(spark, duck, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("a log came to the driver")
+
+    for there in ("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", "tidelog.plans.manifest.Folder.stream", "tidelog.plans.manifest.Folder.chunks"):
+        monkeypatch.setattr(there, refuse)
+    monkeypatch.setattr("tidelog.sources.interop.SEGMENT_BYTES", 4000, raising=False)  # many segments in each stretch
+    got = queries.queries()[name](spark, SF).select("key", "value").collect()
+    assert rows_of(got) == rows_of(duck.sql(f"SELECT key, value FROM ({queries.oracle_sql()[name]})").fetchall())

@@ -18,7 +18,7 @@ from . import cli
 from .functions import accounting, hashing
 from .operators import checks, lww, merge, read
 from .plans import compaction
-from .plans.manifest import load, versions
+from .plans.manifest import Folder, load, versions
 from .schema import DELETE, SET, StoreError, canonical
 from .sources import interop
 from .sources.interop import hex_lines
@@ -536,15 +536,16 @@ def log_replay(spark, sf_dir):
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT dead"""
 )
 def log_segments_replay(spark, sf_dir):
-    """Three segments, of which the second ends in a torn record: what follows it is not replayed."""
-    top, ops = shared_folder(spark), log(spark, sf_dir)
+    """Three stretches of segments, of which the second ends in a torn record: what follows it is not replayed."""
+    top, ops = f"{shared_folder(spark)}/log", log(spark, sf_dir)
     half, end = middle(spark, sf_dir), middle(spark, sf_dir, 0.75)
     for name, part in (("a", ops.where(F.col("seq") < half)), ("b", ops.where((F.col("seq") >= half) & (F.col("seq") < end))), ("c", ops.where(F.col("seq") >= end))):
-        interop.write_log(part, f"{top}/{'log/' if name != 'b' else ''}{name}")
-    folder = Table(spark, f"{top}/none").folder.__class__
-    whole = b"".join(folder(spark, f"{top}/b").chunks())
-    folder(spark, f"{top}/log/b").stream([whole[:-5]])
-    return text(lww.visible(interop.read_log(spark, f"{top}/log")))
+        written = interop.write_segments(part, top, f"{name}-")
+        if name == "b" and written:
+            whole = Folder(spark, written[-1])
+            Folder(spark, f"{whole.root}-torn").join([(whole.root, whole.size("") - 5)])
+            whole.delete("")
+    return text(lww.visible(interop.read_log(spark, top)))
 
 
 @query(VISIBLE_SQL)
