@@ -2,11 +2,13 @@
 
 import glob
 import os
+import threading
 
 import duckdb
 import pytest
 
 from tidelog import queries
+from tidelog.sources import runs as run_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +51,16 @@ def test_no_log_comes_to_the_driver(spark, duck, monkeypatch, name):
     monkeypatch.setattr("tidelog.sources.interop.SEGMENT_BYTES", 4000, raising=False)  # many segments in each stretch
     got = queries.queries()[name](spark, SF).select("key", "value").collect()
     assert rows_of(got) == rows_of(duck.sql(f"SELECT key, value FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_commits_of_a_table_are_written_together(spark, monkeypatch):
+    met, write = threading.Barrier(2), run_files.write
+
+    def waits(*args):
+        met.wait(timeout=60)  # fails if no other run is being written
+        return write(*args)
+
+    monkeypatch.setattr(run_files, "write", waits)
+    table = queries.fresh_table(spark, SF, "snapshot")
+    assert [r.max_seq for r in table.runs] == list(range(queries.RUNS)) and table.version == queries.RUNS

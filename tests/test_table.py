@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,40 @@ def test_usage_and_workloads(spark, tmp_path, capfd):
     assert len(set(keys)) == 500 and {len(k) for k in keys} == {16}
     assert sorted(keys) == sorted(bytes(r["key"]) for r in cli.random_keys(spark, 500).repartition(3).collect())
     assert keys != [bytes(r["key"]) for r in cli.random_keys(spark, 500, seed=7).collect()]
+
+
+def test_runs_of_several_batches_are_written_together(spark, tmp_path, monkeypatch):
+    met, write = threading.Barrier(2), run_files.write
+
+    def waits(*args):
+        met.wait(timeout=60)  # fails if no other run is being written
+        return write(*args)
+
+    batch = lambda i: spark.createDataFrame([(bytearray(b"k%d" % (j % 7)), bytearray(b"v%d.%d" % (i, j)), j) for j in range(20)], "key binary, value binary, ord int").withColumn("op", F.lit(1))
+    facts = lambda t: ([(r.min_seq, r.max_seq, r.level, r.rows, r.min_key, r.max_key) for r in t.runs], t.version, t.stats()["logical"], state(t))
+    for mode in ("snapshot", "tiered"):
+        for empty in ((), (0, 3)):
+            batches = [batch(i).where(F.lit(i not in empty)) for i in range(6)]
+            one, many = Table(spark, str(tmp_path / f"one-{mode}{len(empty)}"), mode), Table(spark, str(tmp_path / f"many-{mode}{len(empty)}"), mode)
+            for b in batches:
+                one.apply(b)
+            if not empty and mode == "snapshot":
+                with monkeypatch.context() as m:
+                    m.setattr(run_files, "write", waits)
+                    many.apply_all(batches)
+            else:
+                many.apply_all(batches)
+            assert facts(many) == facts(one) and many.version >= 6 - len(empty)
+            assert facts(Table(spark, many.path, mode)) == facts(one)
+
+
+def test_a_bad_batch_among_several_publishes_those_before_it(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"), "snapshot")
+    good = lambda k: spark.createDataFrame([(1, k, "v")], "op int, key string, value string")
+    with pytest.raises(Exception, match="an operation needs a key"):
+        t.apply_all([good("a"), spark.createDataFrame([(1, "b", None)], "op int, key string, value string"), good("c"), good("d")])
+    assert state(t) == {b"a": b"v"} and state(Table(spark, t.path)) == {b"a": b"v"}
+    assert len([n for n, _ in t.folder.names() if n.startswith("run-")]) <= 2  # the one that failed may be left to vacuum
+    t.vacuum(older_than_s=-1)
+    t.apply_all([good("c"), good("d")])
+    assert [r.max_seq for r in t.runs] == [0, 1, 2] and sorted(state(t)) == [b"a", b"c", b"d"]

@@ -278,9 +278,8 @@ def fresh_table(spark: SparkSession, sf_dir: str, mode: str) -> Table:
     table = Table(spark, f"{shared_folder(spark)}/table", mode)
     n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     ops, width = log(spark, sf_dir), -(-n // RUNS)
-    for i in range(RUNS):
-        part = ops.where((F.col("seq") >= i * width) & (F.col("seq") < (i + 1) * width))
-        table.apply(part.select("op", "key", "value", F.col("seq").cast("int").alias("ord")))
+    parts = (ops.where((F.col("seq") >= i * width) & (F.col("seq") < (i + 1) * width)) for i in range(RUNS))
+    table.apply_all(part.select("op", "key", "value", F.col("seq").cast("int").alias("ord")) for part in parts)
     return table
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .sources import runs as run_files
 MODES = ("snapshot", "tiered")
 #: Asked keys that become a filter of the scan, where bloom filters meet them; and bytes of those that are broadcast.
 IN_KEYS, ASKED_BYTES = 10, 32 << 20
+#: Runs of several batches that are written together.
+AT_ONCE = 8
 
 
 def _open_only(method):
@@ -102,19 +106,50 @@ class Table:
         ``stream`` names a streaming query and its micro-batch; a batch at or before the last committed one
         is skipped, so a replayed batch does nothing.
         """
-        base = self._manifest
-        if stream and base.streams.get(stream[0], -1) >= stream[1]:
+        if stream and self._manifest.streams.get(stream[0], -1) >= stream[1]:
             return
+        self._commit(*self._write(ops, self._manifest.next_seq), stream)
+
+    @_open_only
+    def apply_all(self, batches: Iterable[DataFrame]) -> None:
+        """A commit for each batch, in order, as apply makes them.
+
+        Runs are written ahead, AT_ONCE of them together: a batch that lies close together in its source is read by few
+        tasks, which would leave the other cores idle. A run is published in its turn; if one fails, those after it go.
+        """
+        batches, first = list(batches), self._manifest.next_seq
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            ahead = [pool.submit(inheritable_thread_target(self.spark)(self._write), ops, first + i) for i, ops in enumerate(batches)]
+            at = 0
+            try:
+                for at, ops in enumerate(batches):
+                    run, cost = ahead[at].result()
+                    if run and self._manifest.next_seq != first + at:  # one before it was empty, which is no commit
+                        self.folder.delete(run.path)
+                        run, cost = self._write(ops, self._manifest.next_seq)
+                    self._commit(run, cost)
+            except BaseException:
+                rest = [f for f in ahead[at + 1 :] if not f.cancel()]
+                for f in rest:
+                    if f.exception() is None and f.result()[0]:
+                        self.folder.delete(f.result()[0].path)
+                raise
+
+    def _write(self, ops: DataFrame, seq: int) -> tuple[Run | None, dict[str, int]]:
+        """The run of a batch, none if that is empty, and what accounting.spent counts of its operations."""
         if "ord" not in ops.columns:
             ops = ops.withColumn("ord", F.lit(0))
         seen = Observation()
         # the caller's rows are computed once: counted on their way to the shuffle by key, which AQE sizes by bytes. If a
         # lost executor's part is computed again it is counted again; these bytes are for reports
-        ops = canonical(ops.withColumn("seq", F.lit(base.next_seq))).observe(seen, *spent())
+        ops = canonical(ops.withColumn("seq", F.lit(seq))).observe(seen, *spent())
         run = run_files.write(lww.latest(ops), self.folder, self._name(), 0)
+        return run, seen.get
+
+    def _commit(self, run: Run | None, cost: dict[str, int], stream: tuple[str, int] | None = None) -> None:
         if run is None and not stream:
             return  # an empty batch is no commit
-        cost = seen.get
+        base = self._manifest
         streams = base.streams | ({stream[0]: stream[1]} if stream else {})
         self._publish(
             replace(
